@@ -104,19 +104,19 @@ def _anchor(cands: list[tuple[int, int, int, int]], at: int, span: int) -> int:
     return max((i for i, c in enumerate(cands) if at - span < c[0] <= at), key=lambda i: (cands[i][1], i))
 
 
-def _plan_group(cands: list[tuple[int, int, int, int]], group: int, total: int, end: int, limit: int, overlap: int) -> list[tuple[int, int, int]]:
+def _plan_group(cands: list[tuple[int, int, int, int]], group: int, total: int, end: int, limit: int, overlap: int, group_words: int = GROUP_WORDS) -> list[tuple[int, int, int]]:
     """Pieces (start offset, end offset, words) of one group; ``end`` is the end of the text's last word."""
     rows = sorted(set(cands))
     if group == 0:
         rows = [c for c in rows if c[0] > 0]
         lead = min((c for c in cands if c[0] == 0), key=lambda c: c[2], default=(0, 0, 0, 0))
         rows.insert(0, (0, 3, lead[2], 0))
-    if total <= (group + 1) * GROUP_WORDS:
+    if total <= (group + 1) * group_words:
         rows.append((total, 3, end, end))
         last = len(rows) - 1
     else:
-        last = _anchor(rows, (group + 1) * GROUP_WORDS, limit // 2)
-    first = 0 if group == 0 else _anchor(rows, group * GROUP_WORDS, limit // 2)
+        last = _anchor(rows, (group + 1) * group_words, limit // 2)
+    first = 0 if group == 0 else _anchor(rows, group * group_words, limit // 2)
     return [(rows[a][2], rows[b][3], rows[b][0] - rows[a][0]) for a, b in plan(rows, first, last, limit, overlap)]
 
 
@@ -181,7 +181,7 @@ _SCAN = (
 )
 
 
-def _stitch(scanned: DataFrame, limit: int, overlap: int) -> DataFrame:
+def _stitch(scanned: DataFrame, limit: int, overlap: int, group_words: int = GROUP_WORDS) -> DataFrame:
     """(key, piece_no, start, end, n_words, total_words) of all keys from their ranges' boundary tables."""
     one = scanned.where("n_ranges = 1").select(
         "key", F.posexplode("pieces").alias("piece_no", "p"), F.col("n_words").alias("total_words")
@@ -193,15 +193,15 @@ def _stitch(scanned: DataFrame, limit: int, overlap: int) -> DataFrame:
     whole = slim.groupBy("key").agg(F.sum("n_words").alias("total"), F.max("last_end").alias("text_end"))
     w = (F.col("base") + F.col("c.w")).alias("w")
     cands = many.join(base, ["key", "range_no"]).select("key", "base", F.explode("cands").alias("c")).select("key", w, "c.level", "c.s", "c.e")
-    own = F.greatest(F.floor((F.col("w") - 1) / GROUP_WORDS), F.lit(0)).cast("long")
-    near = F.when(F.col("w") > (own + 1) * GROUP_WORDS - (limit // 2 + 2 * overlap), F.array(own, own + 1)).otherwise(F.array(own))
-    grouped = cands.withColumn("g", F.explode(near)).join(whole, "key").where(F.col("g") * GROUP_WORDS < F.col("total"))
+    own = F.greatest(F.floor((F.col("w") - 1) / group_words), F.lit(0)).cast("long")
+    near = F.when(F.col("w") > (own + 1) * group_words - (limit // 2 + 2 * overlap), F.array(own, own + 1)).otherwise(F.array(own))
+    grouped = cands.withColumn("g", F.explode(near)).join(whole, "key").where(F.col("g") * group_words < F.col("total"))
 
     def plan_group(key, pdf):
         import pandas as pd
 
         rows = list(zip(pdf.w, pdf.level, pdf.s, pdf.e))
-        got = _plan_group([tuple(map(int, r)) for r in rows], int(key[1]), int(pdf.total[0]), int(pdf.text_end[0]), limit, overlap)
+        got = _plan_group([tuple(map(int, r)) for r in rows], int(key[1]), int(pdf.total[0]), int(pdf.text_end[0]), limit, overlap, group_words)
         return pd.DataFrame(
             [(key[0], key[1], i, s, e, n, int(pdf.total[0])) for i, (s, e, n) in enumerate(got)],
             columns=["key", "g", "local_no", "start", "end", "n_words", "total_words"],
@@ -214,7 +214,7 @@ def _stitch(scanned: DataFrame, limit: int, overlap: int) -> DataFrame:
     return one.unionByName(rest)
 
 
-def piece_offsets(df: DataFrame, key: str = "chunk_no", text: str = "text", limit: int = LIMIT, overlap: int = OVERLAP, range_chars: int = RANGE_CHARS) -> DataFrame:
+def piece_offsets(df: DataFrame, key: str = "chunk_no", text: str = "text", limit: int = LIMIT, overlap: int = OVERLAP, range_chars: int = RANGE_CHARS, group_words: int = GROUP_WORDS) -> DataFrame:
     """Ordered pieces of every text of ``df`` as offsets.
 
     Columns: ``key, piece_no`` (from 0), ``start, end`` (characters), ``n_words, total_words``. A text of at most
@@ -224,6 +224,8 @@ def piece_offsets(df: DataFrame, key: str = "chunk_no", text: str = "text", limi
     table's own token counts are never read. Keys must be unique; other columns are ignored.
     """
     _check(limit, overlap)
+    if range_chars > 2 * group_words:
+        raise ValueError("a range must not hold more words than a group")
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where("text is not null and key is not null")
     size = F.length("text")
     ranges = F.greatest(F.ceil(size / range_chars), F.lit(1)).cast("int")
@@ -235,7 +237,7 @@ def piece_offsets(df: DataFrame, key: str = "chunk_no", text: str = "text", limi
         F.substring(F.col("text"), left + 1, F.lit(range_chars) + 2 * HALO)
     )
     rows = rows.select("key", "range_no", "n_ranges", body.alias("body"), (F.col("range_no") * range_chars - left).cast("int").alias("head"))
-    return _stitch(rows.mapInArrow(_scan_tables(limit, overlap, range_chars), _SCAN), limit, overlap)
+    return _stitch(rows.mapInArrow(_scan_tables(limit, overlap, range_chars), _SCAN), limit, overlap, group_words)
 
 
 def split_oversized(df: DataFrame, key: str = "chunk_no", text: str = "text", **options) -> DataFrame:
