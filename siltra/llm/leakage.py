@@ -1,6 +1,6 @@
 """Evaluation passages inside a corpus, by the q-gram lemma in diagonal bands.
 
-If a piece of an item of L characters stands in a document with at most e edits, the two share at least
+If a run of an item of L characters stands in a document with at most e edits, the two share at least
 L - q + 1 - q e character q-grams on at most e + 1 neighbouring diagonals (document place less item place). For each
 document the shared q-grams are counted in overlapping bands of diagonals; bands that reach the bound are kept, and
 each kept region is verified by an alignment that never leaves its band.
@@ -52,15 +52,27 @@ def _grams(data: np.ndarray, q: int) -> np.ndarray:
     return out
 
 
+def _shortest_run(text: bytes, words: int) -> int:
+    """Characters of the shortest ``words`` consecutive words of a text that has as many."""
+    ends = [i for i, c in enumerate(text) if c == 32] + [len(text)]
+    starts = [0] + [i + 1 for i in ends[:-1]]
+    return min(ends[i + words - 1] - starts[i] for i in range(len(ends) - words + 1))
+
+
 class QGramIndex:
     """q-grams of the items, by hash, with a bit table in front."""
 
     def __init__(self, items: list[tuple[int, str]], words: int = WORDS, q: int = Q, edits: int = EDITS):
         self.words, self.q, self.edits = words, q, edits
-        self.least = 2 * words - 1  # characters of the shortest run: one a word and the blanks between
-        self.bound = max(1, self.least - q + 1 - q * edits)
-        self.ids = [i for i, _ in items]
-        self.texts = [normalised(t) for _, t in items]
+        texts = [(i, normalised(t)) for i, t in items]
+        texts = [(i, t) for i, t in texts if t.count(b" ") >= words - 1]  # a shorter item has no run
+        self.ids = [i for i, _ in texts]
+        self.texts = [t for _, t in texts]
+        # characters of each item's shortest run, and the q-grams that must be left of it after the edits
+        self.runs = np.array([_shortest_run(t, words) for t in self.texts], dtype=np.int64)
+        self.bounds = np.maximum(1, self.runs - q + 1 - q * edits)
+        self.least = int(self.runs.min(initial=1 << 30))
+        self.bound = int(self.bounds.min(initial=1 << 30))
         hashes, item, place = [], [], []
         for n, t in enumerate(self.texts):
             h = _grams(np.frombuffer(t, dtype=np.uint8), q)
@@ -68,6 +80,9 @@ class QGramIndex:
             item.append(np.full(len(h), n, dtype=np.int32))
             place.append(np.arange(len(h), dtype=np.int32))
         h = np.concatenate(hashes) if hashes else np.empty(0, dtype=np.uint64)
+        self.joined = np.frombuffer(b"\1" + b"\1".join(self.texts) + b"\1", dtype=np.uint8)
+        sizes = np.fromiter(map(len, self.texts), dtype=np.int64, count=len(self.texts)) + 1
+        self.begins = np.cumsum(sizes) - sizes + 1
         order = np.argsort(h, kind="stable")
         self.hash = h[order]
         self.item = np.concatenate(item)[order] if item else np.empty(0, dtype=np.int32)
@@ -75,48 +90,94 @@ class QGramIndex:
         self.bits = np.zeros(1 << _BITS, dtype=bool)
         self.bits[(self.hash >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
-    def regions(self, doc: bytes) -> list[tuple[int, int, int, int]]:
-        """(item index, band, first place, last place in the document) of the bands that reach the bound."""
-        h = _grams(np.frombuffer(doc, dtype=np.uint8), self.q)
-        at = np.flatnonzero(self.bits[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
+    def regions(self, docs: list[bytes]) -> list[tuple[int, int, int, int, int]]:
+        """(document index, item index, band, first place, last place in the document) of the bands that reach the bound.
+
+        All documents of a batch are hashed as one array, parted by a byte that no item has.
+        """
+        sizes = np.fromiter(map(len, docs), dtype=np.int64, count=len(docs)) + 1
+        begins = np.cumsum(sizes) - sizes
+        h = _grams(np.frombuffer(b"\0".join(docs), dtype=np.uint8), self.q)
+        if not len(h) or not len(self.hash):
+            return []
+        some = self.bits[(h >> np.uint64(64 - _BITS)).astype(np.int64)]
+        # a run's q-grams crowd together whatever their diagonals are: elsewhere nothing has to be looked up
+        reach = self.least + self.edits - self.q + 1
+        upto = np.concatenate([[0], np.cumsum(some)])
+        n = len(h)
+        crowd = upto[np.minimum(np.arange(n) + reach, n)] - upto[:n] >= self.bound
+        near = np.cumsum(np.concatenate([[0], crowd]))
+        at = np.flatnonzero(some)
+        at = at[near[at + 1] - near[np.maximum(at + 1 - reach, 0)] > 0]
+        if not self.edits:
+            # a run without edits covers every place of its diagonal: each stretch of `bound` places has one that is looked up
+            at = at[at % self.bound == 0]
         if not len(at):
             return []
         lo, hi = np.searchsorted(self.hash, h[at], "left"), np.searchsorted(self.hash, h[at], "right")
         count = hi - lo
         if not count.any():
             return []
-        doc_at = np.repeat(at, count)
+        place = np.repeat(at, count)
         rows = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        item, diag = self.item[rows].astype(np.int64), doc_at - self.place[rows]
+        doc = np.searchsorted(begins, place, "right") - 1
+        own = place - begins[doc]
+        item, diag = self.item[rows].astype(np.int64), own - self.place[rows]
+        if not self.edits:
+            return self._exact(docs, begins, place, doc, own, item, self.place[rows].astype(np.int64))
         width = self.edits + 1
         out = []
         # bands of 2 (e + 1) diagonals that overlap by half: e + 1 neighbours always lie in one of them
         band = diag // width
         for shift in (0, 1) if self.edits else (0,):
-            key = (item << 40) + (((band - shift) >> 1 if self.edits else band) + (1 << 38))
-            order = np.lexsort((doc_at, key))
-            k, d = key[order], doc_at[order]
+            low = ((band - shift) >> 1) if self.edits else band
+            order = np.lexsort((own, low, item, doc))
+            k = (doc[order], item[order], low[order], own[order])
             # q-grams of one run lie within least + edits characters of each other, or the run is longer and they are dense
-            ends = np.flatnonzero(np.concatenate([(k[1:] != k[:-1]) | (d[1:] - d[:-1] > self.least + self.edits), [True]])) + 1
+            new = (np.diff(k[0]) != 0) | (np.diff(k[1]) != 0) | (np.diff(k[2]) != 0) | (np.diff(k[3]) > self.least + self.edits)
+            ends = np.flatnonzero(np.concatenate([new, [True]])) + 1
             starts = np.concatenate([[0], ends[:-1]])
-            for s, e in zip(starts[ends - starts >= self.bound], ends[ends - starts >= self.bound]):
-                dd = d[s:e]
-                if self._dense(dd):
-                    it = int(k[s] >> 40)
-                    low = (int(k[s] & ((1 << 40) - 1)) - (1 << 38))
-                    base = (2 * low + shift) * width if self.edits else low
-                    out.append((it, base, int(dd[0]), int(dd[-1]) + self.q))
+            many = ends - starts >= self.bounds[k[1][starts]]
+            for s, e in zip(starts[many], ends[many]):
+                dd = k[3][s:e]
+                if self._dense(dd, int(k[1][s])):
+                    base = (2 * int(k[2][s]) + shift) * width if self.edits else int(k[2][s])
+                    out.append((int(k[0][s]), int(k[1][s]), base, int(dd[0]), int(dd[-1]) + self.q))
+        return out
+
+    def _exact(self, docs, begins, place, doc, own, item, there) -> list[tuple[int, int, int, int, int]]:
+        """Regions on single diagonals: the shared q-grams next to each other around a looked-up one, counted by the run of
+        equal characters, for all candidates at once."""
+        data = np.frombuffer(b"\0" + b"\0".join(docs) + b"\0", dtype=np.uint8)
+        wide = int(self.runs.max())
+        out = []
+        for i in range(0, len(place), max(1, (1 << 22) // wide)):
+            j = slice(i, i + max(1, (1 << 22) // wide))
+            here, other = place[j] + 1, self.begins[item[j]] + there[j]
+            step = np.arange(wide)
+            same = lambda d: data[np.clip(here[:, None] + d, 0, len(data) - 1)] == self.joined[np.clip(other[:, None] + d, 0, len(self.joined) - 1)]  # noqa: B023, E731
+            right, left = same(step), same(-1 - step)
+            ahead = np.where(right.all(axis=1), wide, (~right).argmax(axis=1))
+            behind = np.where(left.all(axis=1), wide, (~left).argmax(axis=1))
+            for c in np.flatnonzero(ahead + behind - self.q + 1 >= self.bounds[item[j]]):
+                first = int(own[j][c] - behind[c])
+                out.append((int(doc[j][c]), int(item[j][c]), int(own[j][c] - there[j][c]), first, first + int(ahead[c] + behind[c])))
         return out
 
-    def _dense(self, places: np.ndarray) -> bool:
-        """Whether some window of a shortest run's length holds the bound."""
-        b = self.bound
-        return bool((places[b - 1:] - places[:len(places) - b + 1] <= self.least + self.edits - self.q + 1).any()) if len(places) >= b else False
+    def _dense(self, places: np.ndarray, item: int) -> bool:
+        """Whether some window of the item's shortest run holds its bound."""
+        b, reach = int(self.bounds[item]), int(self.runs[item]) + self.edits - self.q + 1
+        return len(places) >= b and bool((places[b - 1:] - places[:len(places) - b + 1] < reach).any())
 
     def verify(self, doc: bytes, item: int, base: int, first: int, last: int) -> bool:
         """Banded alignment of the region: a run of at least ``words`` whole words within the edit budget."""
         text = self.texts[item]
         width = 2 * (self.edits + 1) if self.edits else 1
+        if not self.edits:  # to the ends of the equal stretch
+            while first > max(0, base) and doc[first - 1] == text[first - 1 - base]:
+                first -= 1
+            while last < min(len(doc), len(text) + base) and doc[last] == text[last - base]:
+                last += 1
         first = doc.rfind(b" ", 0, first + 1) + 1  # out to whole words
         last = len(doc) if (e := doc.find(b" ", max(last - 1, 0))) < 0 else e
         a = max(0, first - base - width)
@@ -127,16 +188,16 @@ class QGramIndex:
             return _longest_common_words(doc[first:last].split(b" "), text[a:z].split(b" ")) >= self.words
         return _banded_words(doc[first:last].split(b" "), text[a:z].split(b" "), self.words, self.edits)
 
-    def leaks(self, text: str | None) -> list[int]:
-        """Ids of the items of which ``text`` holds a run."""
-        doc = normalised(text)
-        if len(doc) < self.least:
-            return []
-        found: set[int] = set()
-        for item, base, first, last in self.regions(doc):
-            if item not in found and self.verify(doc, item, base, first, last):
-                found.add(item)
-        return sorted(self.ids[i] for i in found)
+    def leaks(self, texts: list[str | None]) -> list[list[int]]:
+        """For each text the ids of the items of which it holds a run."""
+        docs = [normalised(t) for t in texts]
+        if not self.texts:
+            return [[] for _ in docs]
+        found: list[set[int]] = [set() for _ in docs]
+        for doc, item, base, first, last in self.regions(docs):
+            if item not in found[doc] and self.verify(docs[doc], item, base, first, last):
+                found[doc].add(item)
+        return [sorted(self.ids[i] for i in f) for f in found]
 
 
 def _longest_common_words(a: list[bytes], b: list[bytes]) -> int:
@@ -181,6 +242,18 @@ def _banded_words(a: list[bytes], b: list[bytes], words: int, edits: int) -> boo
     return False
 
 
+def _portions(texts: list[str], chars: int = 2_000_000) -> Iterator[slice]:
+    """Slices of a batch of about so many characters, which bound the arrays in work; a longer text stands alone."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > chars:
+            yield slice(start, i)
+            start, size = i, 0
+        size += len(t)
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
 def item_slices(items: DataFrame, key: str = "item_id", text: str = "text", slice_bytes: int = SLICE_BYTES) -> list[list[tuple[int, str]]]:
     """The items in slices of bounded size, read as a stated query set (it's held-out material, not the corpus)."""
     out, size = [[]], 0
@@ -213,10 +286,11 @@ def leaked_items(
             index = QGramIndex(sent.value, words, q, edits)
             for b in batches:
                 ds, its = [], []
-                for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    for i in index.leaks(t):
-                        ds.append(d)
-                        its.append(i)
+                keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+                for at in _portions(texts):
+                    for d, items_of in zip(keys[at], index.leaks(texts[at])):
+                        ds += [d] * len(items_of)
+                        its += items_of
                 yield pa.RecordBatch.from_arrays([pa.array(ds, pa.int64()), pa.array(its, pa.int64())], names=[doc_key, item_key])
 
         found = found.unionByName(docs.mapInArrow(scan, schema))
