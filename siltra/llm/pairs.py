@@ -155,7 +155,8 @@ def votes(question: str | None, answer: str | None) -> list[int]:
     low = a.lower()
     # empty
     stand_in = low in STAND_INS or low.strip(" .\"'") in STAND_INS
-    empty = [1 if not a else 0, 1 if not alnum else 0, 1 if stand_in or not a else 0, -1 if len(a) > 6 else 1 if not alnum or stand_in else 0]
+    unsure = -1 if stand_in else 0  # what looks at characters can't tell a stand-in from a value
+    empty = [1 if not a else unsure, 1 if not alnum else unsure, 1 if stand_in or not a else -1 if not alnum else 0, 1 if not alnum or stand_in else 0]
     if not alnum or stand_in:
         return empty + [0] * (4 * N_VOTES)
     # copy: nothing but the question's words, labels aside
