@@ -67,6 +67,12 @@ def p6_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     return quantiles.stage_percentiles(table(spark, sf, "run"))
 
 
+def p6_days(spark: SparkSession, sf: str) -> DataFrame:
+    """The same percentiles for each day of ``ts``, from the sketches that combine to those of the whole."""
+    days = quantiles.daily_sketches(table(spark, sf, "run"))
+    return quantiles.read_quantiles(days, ["config", "stage", "day"], quantiles.QS)
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokenizing.encode_corpus(table(spark, sf, "documents"))
 
@@ -95,7 +101,7 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
-        p1_found, p1_pieces, p2_found, p2_copies, p3_found, p3_posteriors, p4_found, p4_redacted, p4_surrogates, p5_containers, p6_percentiles,
+        p1_found, p1_pieces, p2_found, p2_copies, p3_found, p3_posteriors, p4_found, p4_redacted, p4_surrogates, p5_containers, p6_percentiles, p6_days,
         p7_ids, p8_found, p9_found, p9_repetition, p9_thresholds, p9_flagged,
     )
     return {f.__name__: f for f in own}
@@ -120,6 +126,16 @@ WITH parts AS (
 ), kept AS (SELECT grp, min(chunk_no) AS keep_no, count(*) AS copies FROM grouped GROUP BY grp)
 """
 
+_P6 = """
+WITH one AS (
+  SELECT config, lower(trim(stage, chr(9) || chr(10) || chr(13) || ' ' || chr(160))) AS stage, floor(ts / 86400)::BIGINT AS day, ms, error,
+         row_number() OVER (PARTITION BY span_no ORDER BY ingested_at) AS r
+  FROM run WHERE span_no IS NOT NULL
+)
+SELECT {0}, count(*)::BIGINT AS n, quantile_disc(ms, 0.5) AS p50, quantile_disc(ms, 0.9) AS p90, quantile_disc(ms, 0.95) AS p95, quantile_disc(ms, 0.99) AS p99
+FROM one WHERE r = 1 AND error IS NULL AND ms IS NOT NULL AND NOT isnan(ms) AND ms >= 0 GROUP BY {0}
+"""
+
 _WORDS12 = """
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
 i AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
@@ -142,15 +158,8 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": f"SELECT chunk_no FROM chunk_structured WHERE len(regexp_extract_all(text, '{_WS}')) > 400",
         "p2_found": _P2 + "SELECT keep_no, chunk_no FROM grouped JOIN kept USING (grp) WHERE chunk_no > keep_no",
         "p2_copies": _P2 + "SELECT keep_no, copies FROM kept",
-        "p6_percentiles": """
-            WITH one AS (
-              SELECT config, lower(trim(stage, chr(9) || chr(10) || chr(13) || ' ' || chr(160))) AS stage, ms, error,
-                     row_number() OVER (PARTITION BY span_no ORDER BY ingested_at) AS r
-              FROM run WHERE span_no IS NOT NULL
-            )
-            SELECT config, stage, count(*)::BIGINT AS n, quantile_disc(ms, 0.5) AS p50, quantile_disc(ms, 0.9) AS p90, quantile_disc(ms, 0.95) AS p95, quantile_disc(ms, 0.99) AS p99
-            FROM one WHERE r = 1 AND error IS NULL AND ms IS NOT NULL AND NOT isnan(ms) AND ms >= 0 GROUP BY config, stage
-        """,
+        "p6_percentiles": _P6.format("config, stage"),
+        "p6_days": _P6.format("config, stage, day"),
         "p8_found": _WORDS12,
         "p9_repetition": _REPEATS + "SELECT doc_id, n_words, n_repeated FROM shares",
         "p9_found": _REPEATS + "SELECT doc_id FROM shares WHERE n_words > 0 AND n_repeated >= 0.3 * n_words",
