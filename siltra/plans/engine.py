@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltra.config import Config
+from siltra.functions.shared import materialize
 from siltra.operators import adapters, answers, cache, chunking, prompts, retrieval, scoping
 from siltra.sources import files, records
 
@@ -59,11 +60,16 @@ class Engine:
     # -- queries
 
     def retrieve(self, questions: DataFrame) -> DataFrame:
-        """(query_id, chunk_no, rank): the chunks each question gets, after scoping, fusion and reranking as configured."""
+        """(query_id, chunk_no, rank): the chunks each question gets, after scoping, fusion and reranking as configured.
+
+        What later steps read more than once is written to the shared folder, so no step is computed twice.
+        """
         cfg, chunks = self.cfg, self.chunks
         scoped = scoping.allowed_sources(questions, chunks, cfg.metadata_filter)
+        scoped = materialize(scoped, "scoped") if cfg.metadata_filter else scoped
         asked = adapters.embed(scoped.select("query_id", "question", "allowed"), self.make_embedder, text="question")
         ranking = retrieval.dense_topk(chunks, asked, cfg.candidates, allowed="allowed", group="source").select("query_id", "chunk_no", "rank")
+        ranking = materialize(ranking, "dense")
         if cfg.hybrid:
             limited = scoped.where("allowed is not null").select("query_id", F.explode("allowed").alias("source"))
             index = retrieval.bm25_index(chunks)
@@ -78,7 +84,7 @@ class Engine:
 
     def prompts(self, questions: DataFrame) -> DataFrame:
         """(query_id, question, hits, sources, ctx_tokens, conflicts, messages) of each question."""
-        hits = prompts.gather_hits(self.retrieve(questions), self.chunks)
+        hits = materialize(prompts.gather_hits(self.retrieve(questions), self.chunks), "hits")
         flat = hits.select("query_id", F.explode("hits").alias("h")).select("query_id", "h.*")
         j = questions.select("query_id", "question").join(hits, "query_id", "left").join(answers.conflicting_dates(flat), "query_id", "left")
         none = F.array().cast(hits.schema["hits"].dataType)
@@ -90,7 +96,7 @@ class Engine:
 
     def answer(self, questions: DataFrame, cfg: Config | None = None, partitions: int | None = None) -> DataFrame:
         """The prompts' columns with the generator's output, the reason for low confidence (null: confident) and the route."""
-        got = adapters.generate(self.prompts(questions), cfg or self.cfg, partitions=partitions)
+        got = materialize(adapters.generate(self.prompts(questions), cfg or self.cfg, partitions=partitions), "answers")  # one call a prompt
         context = F.array_join(F.transform("hits", lambda h: h["text"]), " ")
         missing = answers.missing_named(got, self.chunks)
         checked = got.join(missing, "query_id", "left").withColumn(
