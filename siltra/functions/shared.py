@@ -34,6 +34,7 @@ def number_rows(df: DataFrame, order: list[str], name: str = "row_no", start: in
     A range sort is written once; each part numbers its own rows and adds the sizes of the parts before it (one
     row a part). ``order`` must be total, else ties are numbered in any order.
     """
+    df = materialize(df, "unnumbered")  # the sample for the ranges then reads the order columns only
     laid = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
     laid = laid.withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("long"), 33))
     laid = materialize(laid, "numbered")

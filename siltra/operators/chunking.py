@@ -35,9 +35,10 @@ def sliding_chunks(pages: DataFrame, size: int = 400, overlap: int = 80, text: s
     Tokens are words parted by white space. Null, empty and blank pages have no chunk. No shuffle.
     """
     keep = [c for c in pages.columns if c not in (text, "window_no", "id", "n_tokens")]
-    w = pages.select(*keep, F.explode(windows(words(text), size, overlap)).alias("_w"))
-    body = F.array_join("_w.tokens", " ")
-    return w.select(*keep, F.col("_w.window_no"), content_id(body).alias("id"), body.alias("text"), F.size("_w.tokens").alias("n_tokens"))
+    # words first, as a column of their own: an expression would be evaluated again for each window
+    w = pages.select(*keep, words(text).alias("_t")).select(*keep, F.explode(windows(F.col("_t"), size, overlap)).alias("_w"))
+    w = w.select(*keep, F.col("_w.window_no"), F.array_join("_w.tokens", " ").alias("text"), F.size("_w.tokens").alias("n_tokens"))
+    return w.select(*keep, "window_no", content_id("text").alias("id"), "text", "n_tokens")
 
 
 def pack_units(units: DataFrame, keys: list[str], order: list[str], size: int = 400, overlap: int = 80, text: str = "text") -> DataFrame:
