@@ -142,9 +142,19 @@ def _bare(answer: str) -> bool:
     return True
 
 
-_NOT_GIVEN = re.compile(
-    r"^(?:not (?:in|stated|given|found|mentioned|specified)\b.*|unanswerable\b.*|.*\b(?:not (?:given|stated|specified|mentioned)|field is blank)|.*\bno (?:answer|such|value|information)\b.*|nicht .*angegeben|no consta.*)$", re.I | re.S
+#: A value is said to be missing.
+_MISSING = re.compile(
+    r"\b(?:no (?:answer|such|value|information)|not (?:in|given|stated|found|mentioned|specified)|unanswerable|is blank|nicht (?:\w+ ){0,3}angegeben|no consta)\b", re.I
 )
+#: A note without end mark that is whole: it ends with the word that says so, or names no more than where the value was sought.
+_NOTE = re.compile(
+    r"(?:[^.!?\n]*\b(?:not (?:given|stated|specified|mentioned)|(?:field|value) is blank)|unanswerable|not found|"
+    r"not (?:in|given in|stated in|found in|mentioned in|specified in) (?:(?:the|this|that|any) )?(?:documents?|texts?|pages?|files?|sources?|context|records?)|"
+    r"(?:[^.!?\n]*\b)?nicht (?:\w+ ){0,3}angegeben|(?:[^.!?\n]*\b)?no consta(?: en (?:el|la|los|las) (?:documentos?|textos?|páginas?))?)", re.I
+)
+#: What only a refusal says.
+_DECLINES = re.compile(r"\b(?:help|assist|share[ds]?|discuss\w*|comment|comply|talk about|disclose[ds]?|declin\w+|refuse[ds]?|ayudar|responder|contestar|helfen|auskunft|aider|répondre)\b", re.I)
+_SENTENCE = re.compile(r"[.!?。！？؟]\s+(?=\S)")
 
 
 def votes(question: str | None, answer: str | None) -> list[int]:
@@ -182,15 +192,21 @@ def votes(question: str | None, answer: str | None) -> list[int]:
     strong = hint and bool(_REFUSE_STRONG.search(outside))
     soft = hint and bool(_REFUSE_NOT.search(outside) and _REFUSE_VERB.search(outside) and _FIRST.search(outside))
     valued = outside != a or bool(_numbers(a) - _numbers(q))
-    not_given = bool(_NOT_GIVEN.match(a))
+    note = bool(_NOTE.fullmatch(a))
+    not_given = (
+        (note or bool(_END.search(a))) and bool(_MISSING.search(a)) and not _FIRST.search(a) and not _SENTENCE.search(outside)
+        and not _DECLINES.search(a) and not _REFUSE_STRONG.match(outside.lstrip())
+    )
     refusal = [
         1 if strong else 0,
         1 if soft and not valued else 0,
-        0 if valued or not_given else -1,
+        0 if valued else -1,
         1 if strong and not valued else 0 if not (strong or soft) else -1,
     ]
-    if is_copy or not_given:
+    if is_copy:
         refusal = [0] * N_VOTES
+    elif not_given:  # one whole sentence that isn't in the first person: its wording tells nothing about refusals
+        refusal = [-1] * N_VOTES
     is_refusal = refusal[0] == 1 or refusal[1] == 1
     # truncated
     tail = a.rstrip("*_ \t\n")
@@ -206,7 +222,7 @@ def votes(question: str | None, answer: str | None) -> list[int]:
         hangs = tail.endswith((",", "(", "[", "-", "–")) or (final[0].lower() in _HANGING and tail.endswith(final[0]))
         is_bare = _bare(a)
     comma = tail.endswith(",")
-    whole = (ended and not open_bracket) or not_given or (bool(is_bare) and not hangs and not open_bracket)
+    whole = (ended and not open_bracket) or note or (bool(is_bare) and not hangs and not open_bracket)
     cited = bool(re.search(r"\]\s*$", tail)) or file_end
     truncated = [
         1 if not whole and not cited and (lowers or not is_bare) else 0,
@@ -219,7 +235,7 @@ def votes(question: str | None, answer: str | None) -> list[int]:
     # other language: judged by the words that aren't the question's own
     asked_in = language(q) or "en"
     hits = {}
-    if not (is_copy or is_refusal or not_given):
+    if not (is_copy or is_refusal):
         hits = spoken(" ".join(w for w in outside.split() if w.strip(".,;:?!()\"'“”").lower() not in once))
     rival = max((k for k in hits if k != asked_in), key=lambda k: hits[k], default=None)
     lead = hits[rival] - hits.get(asked_in, 0) if rival else 0

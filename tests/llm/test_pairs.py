@@ -44,6 +44,26 @@ def test_cutoffs_have_room(cutoff):
         assert [post[p] > cutoff for p in parts] == [x == d for _, _, x in LABELLED]
 
 
+NOT_GIVEN = [
+    (Q, "There is no such figure in the second lease of Clover Lettings.", None), (Q, "There is no such figure in the second lease of Clo", "truncated"),
+    (Q, "not in the documents", None), (Q, "not in document", None), (Q, "not in the docu", "truncated"), (Q, "should say it is not given", None), (Q, "unanswerable - field is blank", None), (D, "nicht angegeben", None),
+    (Q, "The documents cannot answer this: no such value is given.", None), (Q, "I must decline: no information can be shared.", "refusal"), (Q, "I'm sorry, I can't help: there is no information for you.", "refusal"),
+    (Q, "Cannot comply: no information will be given.", "refusal"), (E, "No debo responder: no consta.", "refusal"),
+    (Q, "The lease has no value for the garage, but the deposit is 400, which has to be sett", "truncated"),
+    (Q, "Der Vertrag hat auf Seite 3 no value, aber die Kaution beträgt 400 Euro und gilt auch für das nächste Jahr.", "other_language"),
+]
+
+
+def test_a_value_not_given_hides_no_defect():
+    for i, d in enumerate(pr.DEFECTS):
+        counts: dict = {}
+        parts = [tuple(pr.votes(q, a)[i * pr.N_VOTES:(i + 1) * pr.N_VOTES]) for q, a, _ in LABELLED + NOT_GIVEN]
+        for p in parts:
+            counts[p] = counts.get(p, 0) + 1
+        post = pr.fit_label_model(counts)
+        assert [1 in p and post[p] > pr.CUTOFFS[d] for p in parts] == [x == d for _, _, x in LABELLED + NOT_GIVEN]
+
+
 def test_model_weighs_functions_by_what_they_are_worth():
     # the fourth function is a coin: the model has to find that out
     counts = {}
