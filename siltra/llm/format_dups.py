@@ -1,9 +1,10 @@
 """Records that differ by formatting only: a bucketed ledger of canonical keys.
 
-A batch is reduced to (canonical key, copies, first key) by one partial + final aggregation; the ledger of earlier
-batches is full-outer-joined bucket by bucket, counts add up and the earliest representative stays. Hot keys never
-meet in one task: they are combined before the shuffle, and in the join back to the records the few keys that hold
-more than a ``1 / HOT_PARTS`` part of all rows (at most ``HOT_PARTS`` of them) are broadcast.
+A batch is reduced to links (k1, k2, copies, first key) by one partial + final aggregation; the ledger of earlier
+batches holds links too and is full-outer-joined bucket by bucket, counts add up and the earliest representative stays.
+A batch may link what stood apart before: the groups that share a key with it are labelled anew, all others are left.
+Hot keys never meet in one task: they are combined before the shuffle, and in the join back to the records the few keys
+that hold more than a ``1 / HOT_PARTS`` part of all rows (at most ``HOT_PARTS`` of them) are broadcast.
 """
 
 from __future__ import annotations
@@ -57,16 +58,19 @@ def with_group(keys: DataFrame) -> DataFrame:
     Records of one k1 share the least of its members' k2; where a k1 has several k2 (one text read as fields in two
     ways), the two-sided graph of the distinct (k1, k2) is walked until no label changes.
     """
-    pairs = keys.where("k2 is not null").select("k1", "k2").distinct()
-    labels = pairs.groupBy("k1").agg(F.min("k2").alias("lab"), F.count(F.lit(1)).alias("n"))
-    split = labels.where("n > 1")
-    if not split.isEmpty():
-        labels = _spread(pairs)
-    labels = labels.select(F.col("k1").alias("l1"), "lab")
+    labels = _labels(keys.where("k2 is not null").select("k1", "k2").distinct()).select(F.col("k1").alias("l1"), "lab")
     # one row a text with fields; hot texts are few rows here, so only the records' side can be skewed
     return _salted_lookup(keys, labels, "k1", "l1").select("key", F.coalesce("lab", "k1").alias("grp"))
 
 
+def _labels(pairs: DataFrame) -> DataFrame:
+    """(k1, lab) of the distinct (k1, k2): the least k2 of each k1's connected part."""
+    labels = pairs.groupBy("k1").agg(F.min("k2").alias("lab"), F.count(F.lit(1)).alias("n"))
+    if not labels.where("n > 1").isEmpty():
+        labels = _spread(pairs)
+    return labels.select("k1", "lab")
+
+
 def _spread(pairs: DataFrame) -> DataFrame:
     """Least label of each connected part of the (k1, k2) graph; one aggregation a step, ends when none changes."""
     lab2 = pairs.select("k2").distinct().withColumn("lab", F.col("k2"))
@@ -117,7 +121,7 @@ def merge_ledger(ledger: DataFrame | None, batch: DataFrame) -> DataFrame:
 
 
 def build_ledger(grouped: DataFrame, batches: int = 2) -> DataFrame:
-    """The ledger of all rows of (key, grp), taken in as ``batches`` batches, one after the other."""
+    """The counts of all rows of (key, grp) that are grouped already, taken in as ``batches`` batches, one after the other."""
     ledger = None
     for i in range(batches):
         part = grouped.where(F.pmod(F.xxhash64("key"), F.lit(batches)) == i) if batches > 1 else grouped
@@ -132,14 +136,50 @@ def write_ledger(ledger: DataFrame, path: str) -> None:
     ledger.repartition("bucket").write.partitionBy("bucket").mode("errorifexists").parquet(path)
 
 
-def format_duplicates(df: DataFrame, key: str = "chunk_no", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def take_batch(ledger: DataFrame | None, keys: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """The ledger (bucket, k1, k2, grp, copies, keep_no), a row a link, after one more batch of ``keyed`` records.
+
+    Only the batch's own records are read. ``grp`` is the same as if all batches had come as one.
+    """
+    links = keys.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.min("key").alias("keep_no"))
+    links = materialize(links.withColumn("bucket", F.pmod(F.xxhash64("k1"), F.lit(buckets)).cast("int")), "batch")
+    apart = None
+    if ledger is not None:
+        touched = ledger.join(links.select("bucket", "k1").distinct(), ["bucket", "k1"], "left_semi").select("grp").union(
+            ledger.join(links.where("k2 is not null").select("k2").distinct(), "k2", "left_semi").select("grp")
+        )
+        touched = materialize(touched.distinct(), "touched")
+        apart = ledger.join(touched, "grp", "left_anti")
+        a, b = ledger.join(touched, "grp", "left_semi").alias("a"), links.alias("b")
+        same = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.k1") == F.col("b.k1")) & F.col("a.k2").eqNullSafe(F.col("b.k2"))
+        links = a.join(b, same, "full_outer").select(
+            *(F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in ("bucket", "k1", "k2")),
+            (F.coalesce("a.copies", F.lit(0)) + F.coalesce("b.copies", F.lit(0))).alias("copies"),
+            F.least("a.keep_no", "b.keep_no").alias("keep_no"),
+        )
+        links = materialize(links, "links")
+    labels = _labels(links.where("k2 is not null").select("k1", "k2")).select(F.col("k1").alias("l1"), "lab")
+    out = links.join(labels, F.col("k1") == F.col("l1"), "left").select("bucket", "k1", "k2", F.coalesce("lab", "k1").alias("grp"), "copies", "keep_no")
+    return materialize(out if apart is None else out.unionByName(apart), "ledger")
+
+
+def distinct_records(ledger: DataFrame) -> DataFrame:
+    """(grp, copies, keep_no) of the distinct records of a ledger of links."""
+    return ledger.groupBy("grp").agg(F.sum("copies").alias("copies"), F.min("keep_no").alias("keep_no"))
+
+
+def format_duplicates(df: DataFrame, key: str = "chunk_no", text: str = "text", batches: int = 2) -> tuple[DataFrame, DataFrame]:
     """(ledger, members): one row (keep_no, copies) a distinct record, and (keep_no, key) for each row that repeats one.
 
     Alike are texts with the same letters and digits in the same order whatever their case, white space and
     punctuation, and records of named fields in any field order. Null texts are no records; an empty table gives none.
+    The rows come to the ledger as ``batches`` batches, one after the other; each is grouped without the others.
     """
-    grouped = materialize(with_group(materialize(keyed(df, key, text), "keys")), "groups")
-    ledger = materialize(build_ledger(grouped), "ledger")
-    repeated = ledger.where("copies > 1").select(F.col("grp").alias("g2"), "keep_no")
-    members = _salted_lookup(grouped, repeated, "grp", "g2", "inner").where("key > keep_no").select("keep_no", F.col("key").alias(key))
-    return ledger.select("keep_no", "copies"), members
+    keys = materialize(keyed(df, key, text), "keys")
+    ledger = None
+    for i in range(batches):
+        ledger = take_batch(ledger, keys.where(F.pmod(F.xxhash64("key"), F.lit(batches)) == i))
+    kept = materialize(distinct_records(ledger), "records")
+    repeated = ledger.select("k1", "grp").distinct().join(kept.where("copies > 1"), "grp").select(F.col("k1").alias("l1"), "keep_no")
+    members = _salted_lookup(keys.select("key", "k1"), repeated, "k1", "l1", "inner").where("key > keep_no").select("keep_no", F.col("key").alias(key))
+    return kept.select("keep_no", "copies"), members

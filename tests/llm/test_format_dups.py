@@ -66,6 +66,30 @@ def test_ledger_takes_batches(spark, tmp_path):
     assert one == {tuple(r) for r in later.collect()}
 
 
+def test_batches_are_grouped_on_their_own(spark, tmp_path):
+    # the second batch's text has no fields; the third links two groups of the first
+    rows = [(1, "cd: 2\nab: 1"), (2, "cd: 2\na: b1"), (3, "e: 5\nf: 6"), (4, "lone")], [(11, "cd 2 ab 1"), (12, "a: b1\ncd: 2"), (13, "LONE"), (0, "f: 6\ne: 5")], [(21, "ab: 1\ncd: 2"), (22, "new")]
+    ledger = None
+    for i, part in enumerate(rows):
+        ledger = fd.take_batch(ledger, fd.keyed(spark.createDataFrame(part, "chunk_no long, text string")))
+        fd.write_ledger(ledger, path := str(tmp_path / f"ledger{i}"))
+        ledger = spark.read.parquet(path)
+        so_far = [r for part in rows[:i + 1] for r in part]
+        links = brute(so_far)
+        again = {k for _, k in links}
+        groups = {k: 1 + sum(a == k for a, _ in links) for k, _ in so_far if k not in again}
+        assert {(r.keep_no, r.copies) for r in fd.distinct_records(ledger).collect()} == set(groups.items())
+
+
+def test_random_batches_match_one(spark):
+    rng = random.Random(3)
+    field = lambda: rng.choice(["a", "ab", "b"]) + ": " + rng.choice(["1", "b1", "2"])
+    rows = [(i, rng.choice(["\n", " ", "|"]).join(field() for _ in range(rng.choice([1, 2, 3])))) for i in range(120)] + [(500, None), (501, "")]
+    df = spark.createDataFrame(rows, "chunk_no long, text string")
+    for batches in (1, 4):
+        assert {tuple(r) for r in fd.format_duplicates(df, batches=batches)[1].collect()} == brute(rows)
+
+
 def test_hot_group_and_empty_table(spark):
     df = spark.range(1, 9001).select(F.col("id").alias("chunk_no"), F.when(F.col("id") % 3 == 0, F.lit("Same; text")).otherwise(F.concat(F.lit("t"), "id")).alias("text"))
     members = fd.format_duplicates(df)[1]
