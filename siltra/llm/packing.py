@@ -20,8 +20,9 @@ from siltra.llm.common import materialize, n_words
 
 CAPACITY = 400
 DIMS, BITS, HASHED = 3, 10, 1 << 14
-#: Records a task packs together; a container that is filled less than GOOD waits for the next window.
-WINDOW, GOOD = 8192, 0.985
+#: Containers' worth of words, neighbours on the curve, that are taken in before packing (more if over four times as
+#: much is left over), and records held at most; a container that is filled less than GOOD waits for the next window.
+STRETCH, WINDOW, GOOD = 8, 8192, 0.985
 
 
 def hilbert(coords: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -100,14 +101,18 @@ def _pack(capacity: int):
         out: list[tuple] = []
         group: tuple | None = None
         held: list[tuple[int, int, int]] = []  # (key, piece_no, words)
+        fresh = left = 0  # words taken in since the last packing, and words left over by it
 
         def close(final: bool) -> None:
-            nonlocal held
+            nonlocal held, fresh, left
             kept: list[tuple[int, int, int]] = []
+            fresh = left = 0
             for b in best_fit([h[2] for h in held], capacity):
                 rows = [held[i] for i in b]
-                if not final and sum(r[2] for r in rows) < GOOD * capacity and len(kept) + len(rows) <= WINDOW // 2:
+                words = sum(r[2] for r in rows)
+                if not final and words < GOOD * capacity and len(kept) + len(rows) <= WINDOW // 2:
                     kept.extend(rows)
+                    left += words
                     continue
                 name = "%d-%d" % min(r[:2] for r in rows)
                 out.extend((*group, name, *r) for r in rows)
@@ -124,14 +129,15 @@ def _pack(capacity: int):
                 if group != (source, page):
                     if group is not None:
                         close(True)
-                    group, held = (source, page), []
+                    group, held, fresh, left = (source, page), [], 0, 0
                 piece = 0
                 while n > capacity:
                     out.append((source, page, f"{key}-{piece}", key, piece, capacity))
                     n -= capacity
                     piece += 1
                 held.append((key, piece, n))
-                if len(held) >= WINDOW:
+                fresh += n
+                if fresh >= max(STRETCH * capacity, left // 4) or len(held) >= WINDOW:
                     close(False)
             if len(out) > 10_000:
                 yield batch()

@@ -3,6 +3,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from siltra.llm import packing as pk
@@ -55,5 +56,20 @@ def test_every_record_is_packed_once(spark, hot):
         assert len(mine) <= sum(mine) / 400 * 1.02 + 8
 
 
+def test_containers_hold_neighbours_of_the_curve():
+    # one group of 3000 records, numbered along the curve
+    rng = random.Random(7)
+    sizes = [rng.randrange(0, 120) for _ in range(3000)]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(3000), pa.int64()), pa.array(["a"] * 3000), pa.array([1] * 3000, pa.int32()), pa.array(sizes, pa.int64())], names=["key", "source", "page", "n"])
+    inside = defaultdict(list)
+    for b in pk._pack(400)([rows]):
+        for r in b.to_pylist():
+            inside[r["container_id"]].append(r["key"])
+    assert sorted(k for ks in inside.values() for k in ks) == list(range(3000))
+    assert all(sum(sizes[k] for k in ks) <= 400 for ks in inside.values())
+    assert np.mean([max(ks) - min(ks) for ks in inside.values()]) < 150
+    assert len(inside) <= sum(sizes) / 400 * 1.02 + 2
+
+
 def test_empty_table(spark):
     assert pk.pack_containers(spark.createDataFrame([], "chunk_no long, source string, page int, text string")).count() == 0
