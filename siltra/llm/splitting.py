@@ -29,6 +29,18 @@ _END = re.compile(r"[.!?…;。！？；][\"'”’»)\]*_]*$")
 #: Shortenings whose full stop ends no sentence.
 _SHORT = {"dr.", "mr.", "mrs.", "ms.", "prof.", "no.", "nr.", "e.g.", "i.e.", "ext.", "st.", "bzw.", "z.b.", "sr.", "sra.", "m.", "mme."}
 
+#: UTF-8 bytes of white space and of sentence ends and closing marks beyond ASCII.
+_BLANK_BYTES = re.compile(b"|".join(c.encode() for c in map(chr, range(0x80, 0x3001)) if c.isspace()))
+_STOP_BYTES = re.compile(b"|".join(c.encode() for c in "…。！？；"))
+_CLOSE_BYTES = re.compile(b"|".join(c.encode() for c in "”’»"))
+
+
+def _one_char_a_byte(raw: bytes) -> str:
+    """UTF-8 bytes as a text of as many characters, in which blanks and sentence ends are ASCII and all else is no blank."""
+    for pattern, mark in ((_BLANK_BYTES, b" "), (_STOP_BYTES, b"."), (_CLOSE_BYTES, b'"')):
+        raw = pattern.sub(lambda m: mark * len(m[0]), raw)  # noqa: B023
+    return raw.decode("latin-1").replace("\x85", "x").replace("\xa0", "x")
+
 
 def scan_range(text: str, lo: int, hi: int) -> tuple[int, list[tuple[int, int, int, int]]]:
     """Words that start in ``text[lo:hi]`` and the candidate cuts before them.
@@ -271,8 +283,7 @@ def split_files(spark: SparkSession, files: list[tuple[str, int]], limit: int =
                 with open(r["path"], "rb") as f:
                     f.seek(max(0, lo - HALO))
                     raw = f.read(hi - max(0, lo - HALO) + 4 * HALO)
-                # latin-1 keeps one character a byte; white space beyond ASCII stays inside words here
-                body = raw.decode("latin-1").replace("\x85", "x").replace("\xa0", "x")
+                body = _one_char_a_byte(raw)
                 head = lo - max(0, lo - HALO)
                 n, cands = scan_range(body, head, head + hi - lo)
                 if lo == 0 and n:

@@ -72,6 +72,20 @@ def test_files_by_byte_ranges(spark, tmp_path):
     check(text, got)
 
 
+def test_files_with_blanks_and_ends_beyond_ascii(spark, tmp_path):
+    rng = random.Random(8)
+    text = "".join(rng.choice(["größe", "à", "日本", "Ѕ…x", "end"]) + f"{i}" + rng.choice(["\u00a0", "\u2003", "\u3000", " ", "\u2028", "\x85"]) for i in range(3000))
+    path = tmp_path / "blanks.txt"
+    path.write_text(text, encoding="utf-8", newline="")
+    for range_bytes in (5000, 4999, 4998):
+        check(text, split_files(spark, [(str(path), path.stat().st_size)], range_bytes=range_bytes).orderBy("piece_no").collect())
+    text = "\u3000".join(f"第 {i} 文 は この 長い 文書 の 中 に あります。" for i in range(150))
+    path = tmp_path / "stops.txt"
+    path.write_text(text, encoding="utf-8", newline="")
+    got = split_files(spark, [(str(path), path.stat().st_size)], range_bytes=3000).orderBy("piece_no").collect()
+    assert len(got) > 3 and all(p.piece.endswith("。") and p.piece.startswith("第") for p in got)
+
+
 def test_empty_table_and_bad_options(spark):
     df = spark.createDataFrame([], "chunk_no long, text string")
     assert piece_offsets(df).count() == 0
