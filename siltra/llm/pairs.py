@@ -92,6 +92,12 @@ def _core(text: str) -> list[str]:
     return [w.lower() for w in _WORDS.findall(text)]
 
 
+def _alike(a: str, b: str) -> float:
+    """Share of the letter trigrams of two texts that both have, blanks and punctuation aside."""
+    x, y = ({t[i:i + 3] for i in range(max(1, len(t) - 2))} for t in ("".join(_core(a)), "".join(_core(b))))
+    return len(x & y) / len(x | y)
+
+
 def _script(word: str) -> str:
     o = ord(word[0])
     for below, name in ((0x370, "latin"), (0x400, "el"), (0x530, "ru"), (0x590, "hy"), (0x600, "he"), (0x780, "ar"), (0x980, "hi"), (0x3040, "other"), (0x3100, "ja"), (0xA000, "zh"), (0xAC00, "other"), (0xD7B0, "ko")):
@@ -183,7 +189,7 @@ def votes(question: str | None, answer: str | None) -> list[int]:
             1 if repeats else 0,
             1 if extra == 0 and covered >= 0.9 and times >= 0.9 else 0,
             1 if covered >= 0.95 and extra <= max(1, len(own) // 12) and times >= 0.9 and not _numbers(a) - _numbers(q) else -1,
-            -1,
+            1 if (alike := _alike(_SAME_START.sub("", a), q)) >= 0.9 else 0 if alike < 0.8 else -1,
         ]
     is_copy = sum(v == 1 for v in copy) >= 2
     # refusal

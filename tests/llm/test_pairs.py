@@ -64,6 +64,12 @@ def test_a_value_not_given_hides_no_defect():
         assert [1 in p and post[p] > pr.CUTOFFS[d] for p in parts] == [x == d for _, _, x in LABELLED + NOT_GIVEN]
 
 
+def test_copy_has_four_functions():
+    at = pr.DEFECTS.index("copy") * pr.N_VOTES
+    fourth = [(pr.votes(q, a)[at + 3], d) for q, a, d in LABELLED]
+    assert {v for v, d in fourth if d == "copy"} == {1} and {v for v, d in fourth if d != "copy"} == {0}
+
+
 def test_model_weighs_functions_by_what_they_are_worth():
     # the fourth function is a coin: the model has to find that out
     counts = {}
