@@ -24,8 +24,8 @@ TOKENIZERS = os.environ.get("SILTRA_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k"
 #: Fixed value: the public pre-tokenizer pattern of the byte_bpe_50k vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters a fragment should hold at least, and a text above which fragments are spread over tasks.
-FRAGMENT, SPREAD = 2_048, 1 << 16
+#: Characters a fragment holds at least.
+FRAGMENT = 256
 
 
 @lru_cache(maxsize=4)
@@ -48,8 +48,9 @@ def _load(folder: str, vocabulary: str):
 class ForcedEncoder:
     """Encoder of one vocabulary; made once in each Python worker."""
 
-    def __init__(self, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY):
+    def __init__(self, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY, size: int = FRAGMENT):
         self.encoding, self.never = _load(folder, vocabulary)
+        self.size = size
 
     def certain(self, a: str, b: str) -> bool:
         """Whether a cut between the neighbouring characters a and b is certain."""
@@ -73,57 +74,37 @@ class ForcedEncoder:
 
     def encode(self, text: str | None) -> list[int]:
         """Ids without special tokens; ``[]`` for null and empty. Strings of special tokens are ordinary text."""
-        if not text:
-            return []
-        if len(text) <= FRAGMENT:
-            return self.encoding.encode_ordinary(text)
-        return list(chain.from_iterable(map(self.encoding.encode_ordinary, self.fragments(text))))
+        return list(chain.from_iterable(map(self.encoding.encode_ordinary, self.fragments(text, self.size)))) if text else []
 
 
-def _encode(folder: str, vocabulary: str, names: list[str]):
-    """Arrow function: the last column is text, the others pass through, ids come last."""
+def _pieces(keys: list, texts: list, chars: int = 1 << 22) -> Iterator[tuple[list, list]]:
+    """Rows of a batch in runs of about so many characters, so that a batch of long texts isn't held as ids at once."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        size += len(t) if t else 0
+        if size >= chars:
+            yield keys[start:i + 1], texts[start:i + 1]
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield keys[start:], texts[start:]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = ForcedEncoder(folder, vocabulary)
-        for b in batches:
-            lists = [enc.encode(t) for t in b.column(b.num_columns - 1).to_pylist()]
-            offsets = np.zeros(len(lists) + 1, dtype=np.int32)
-            np.cumsum([len(x) for x in lists], out=offsets[1:])
-            flat = np.fromiter(chain.from_iterable(lists), dtype=np.int32, count=int(offsets[-1]))
-            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids], names=[*names, "ids"])
-
-    return run
 
-
-def encode_corpus(
-    df: DataFrame, key: str = "doc_id", text: str = "text", folder: str = TOKENIZERS, vocabulary: str = VOCABULARY, spread: int = SPREAD
-) -> DataFrame:
+def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", folder: str = TOKENIZERS, vocabulary: str = VOCABULARY, fragment: int = FRAGMENT) -> DataFrame:
     """(key, ids array<int>) of every row; an empty list where the text is null or empty.
 
-    Texts up to ``spread`` characters are encoded where they lie, without a shuffle. Longer ones are cut at certain
-    places into parts of about that size, the parts are encoded in parallel and joined in order. Rows with one key
-    stay apart only if they are short; keys of longer texts must be unique.
+    One pass, no shuffle: every text, long or short, is cut at certain places and its fragments are encoded where it
+    lies, so rows stay rows whatever their length and however often their key (null too) occurs.
     """
-    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("t"))
-    long = F.coalesce(F.length("t"), F.lit(0)) > spread
-    short = rows.where(~long).mapInArrow(_encode(folder, vocabulary, ["key"]), "key long, ids array<int>")
-
-    def cut(batches):
-        enc = ForcedEncoder(folder, vocabulary)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = ForcedEncoder(folder, vocabulary, fragment)
         for b in batches:
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                parts = enc.fragments(t, spread)
-                for i in range(0, len(parts), 64):
-                    some = parts[i:i + 64]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([k] * len(some), pa.int64()), pa.array(range(i, i + len(some)), pa.int32()), pa.array(some, pa.string())],
-                        names=["key", "part", "t"],
-                    )
-
-    parts = rows.where(long).mapInArrow(cut, "key long, part int, t string").repartition("key", "part")
-    coded = parts.mapInArrow(_encode(folder, vocabulary, ["key", "part"]), "key long, part int, ids array<int>")
-    whole = coded.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("part", "ids"))).alias("p")).select(
-        "key", F.flatten(F.col("p.ids")).alias("ids")
-    )
-    return short.unionByName(whole).select(F.col("key").alias(key), "ids")
+            for keys, texts in _pieces(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                lists = [enc.encode(t) for t in texts]
+                offsets = np.zeros(len(lists) + 1, dtype=np.int32)
+                np.cumsum([len(x) for x in lists], out=offsets[1:])
+                flat = np.fromiter(chain.from_iterable(lists), dtype=np.int32, count=int(offsets[-1]))
+                ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), ids], names=["key", "ids"])
+
+    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("t"))
+    return rows.mapInArrow(run, "key long, ids array<int>").select(F.col("key").alias(key), "ids")
