@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltra.llm import format_dups, leakage, packing, pairs, pii, quantiles, repetition, splitting, tokenizing
-from siltra.llm.common import materialize, table
+from siltra.llm.common import materialize, shared_dir, table
 
 #: Key of the surrogates in the queries; a deployment passes its own secret.
 DEMO_KEY = "not a secret"
@@ -18,13 +19,27 @@ def _chunks(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "chunk_structured")
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    offs = splitting.piece_offsets(_chunks(spark, sf))
+    return offs.where((F.col("total_words") > splitting.LIMIT) & (F.col("piece_no") == 0)).select(F.col("key").alias("chunk_no"))
+
+
 def p1_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.split_oversized(_chunks(spark, sf)).where(F.col("total_words") > splitting.LIMIT)
 
 
-def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    offs = splitting.piece_offsets(_chunks(spark, sf))
-    return offs.where((F.col("total_words") > splitting.LIMIT) & (F.col("piece_no") == 0)).select(F.col("key").alias("chunk_no"))
+def p1_cover(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of each split text and words that its pieces cover."""
+    return splitting.coverage(splitting.piece_offsets(_chunks(spark, sf)).where(F.col("total_words") > splitting.LIMIT))
+
+
+def p1_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The texts written as plain files in the shared folder and split by byte ranges, no file being read as a whole."""
+    folder = f"{shared_dir(spark)}/siltra/files-{uuid.uuid4().hex}"
+    rows = _chunks(spark, sf).where("text is not null").repartitionByRange(8, "chunk_no").sortWithinPartitions("chunk_no")
+    rows.select("text").write.option("lineSep", "\n\n").text(folder)
+    pieces = splitting.split_files(spark, splitting.text_files(spark, folder))
+    return pieces.select(F.regexp_extract("path", r"part-(\d+)", 1).cast("long").alias("file_no"), "piece_no", "start", "end", "n_words")
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -101,7 +116,7 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
-        p1_found, p1_pieces, p2_found, p2_copies, p3_found, p3_posteriors, p4_found, p4_redacted, p4_surrogates, p5_containers, p6_percentiles, p6_days,
+        p1_found, p1_pieces, p1_cover, p1_files, p2_found, p2_copies, p3_found, p3_posteriors, p4_found, p4_redacted, p4_surrogates, p5_containers, p6_percentiles, p6_days,
         p7_ids, p8_found, p9_found, p9_repetition, p9_thresholds, p9_flagged,
     )
     return {f.__name__: f for f in own}
@@ -156,6 +171,7 @@ shares AS (SELECT d.doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(c.n
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"SELECT chunk_no FROM chunk_structured WHERE len(regexp_extract_all(text, '{_WS}')) > 400",
+        "p1_cover": f"WITH n AS (SELECT chunk_no, len(regexp_extract_all(text, '{_WS}')) AS n FROM chunk_structured) SELECT chunk_no, n AS n_words, n AS covered, true AS within_limit FROM n WHERE n > 400",
         "p2_found": _P2 + "SELECT keep_no, chunk_no FROM grouped JOIN kept USING (grp) WHERE chunk_no > keep_no",
         "p2_copies": _P2 + "SELECT keep_no, copies FROM kept",
         "p6_percentiles": _P6.format("config, stage"),

@@ -1,10 +1,10 @@
 """Splitting of oversized texts at natural boundaries, by ranges.
 
-A text (or a file) is cut into fixed ranges. Each range is scanned on its own, with a halo on both
-sides, for *candidate* cuts; the boundary tables are stitched by a prefix sum of the ranges' word
-counts, the cuts are planned on the tables alone, and pieces come out by offset. No step holds a whole
-text: planning works on groups of ``GROUP_WORDS`` words between anchor cuts that both neighbours of an
-anchor find by themselves.
+Every text and every file is cut into fixed ranges. Each range is scanned on its own, with a halo on both sides, for
+*candidate* cuts; the boundary tables are stitched by a prefix sum of the ranges' word counts, the cuts are planned on
+the tables alone, and pieces come out by offset. Planning works on groups of ``GROUP_WORDS`` words between anchor cuts
+that both neighbours of an anchor find by themselves. A column's text lies in one row already, so its ranges are
+stitched where the row lies, without a shuffle; a file's ranges are scanned, planned and emitted by any task.
 """
 
 from __future__ import annotations
@@ -17,9 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siltra.llm.common import materialize
+
 LIMIT, OVERLAP = 400, 80
-RANGE_CHARS, HALO = 1 << 16, 256
-#: Words between anchors; a range of RANGE_CHARS characters has fewer words, so it is one group.
+RANGE_CHARS, HALO = 1024, 256
+#: Words between anchors.
 GROUP_WORDS = 40_000
 #: Every so many words a position is a candidate even where no sentence ends.
 GRID = 20
@@ -116,8 +118,8 @@ def _anchor(cands: list[tuple[int, int, int, int]], at: int, span: int) -> int:
     return max((i for i, c in enumerate(cands) if at - span < c[0] <= at), key=lambda i: (cands[i][1], i))
 
 
-def _plan_group(cands: list[tuple[int, int, int, int]], group: int, total: int, end: int, limit: int, overlap: int, group_words: int = GROUP_WORDS) -> list[tuple[int, int, int]]:
-    """Pieces (start offset, end offset, words) of one group; ``end`` is the end of the text's last word."""
+def _plan_group(cands: list[tuple[int, int, int, int]], group: int, total: int, end: int, limit: int, overlap: int, group_words: int = GROUP_WORDS) -> list[tuple[int, int, int, int]]:
+    """Pieces (start offset, end offset, first word, words) of one group; ``end`` is the end of the text's last word."""
     rows = sorted(set(cands))
     if group == 0:
         rows = [c for c in rows if c[0] > 0]
@@ -129,7 +131,7 @@ def _plan_group(cands: list[tuple[int, int, int, int]], group: int, total: int,
     else:
         last = _anchor(rows, (group + 1) * group_words, limit // 2)
     first = 0 if group == 0 else _anchor(rows, group * group_words, limit // 2)
-    return [(rows[a][2], rows[b][3], rows[b][0] - rows[a][0]) for a, b in plan(rows, first, last, limit, overlap)]
+    return [(rows[a][2], rows[b][3], rows[a][0], rows[b][0] - rows[a][0]) for a, b in plan(rows, first, last, limit, overlap)]
 
 
 def _check(limit: int, overlap: int) -> None:
@@ -137,74 +139,110 @@ def _check(limit: int, overlap: int) -> None:
         raise ValueError(f"needs 0 <= overlap <= limit / 4 and limit >= {8 * GRID}")
 
 
-def _scan_tables(limit: int, overlap: int, step: int):
+def boundary_table(body: str, head: int, size: int, at: int, first: bool) -> tuple[int, int, list[tuple[int, int, int, int]]]:
+    """(words, end of the last word or -1, candidates) of the range that begins at ``head`` in ``body``, its halos around it.
+
+    Offsets count from the start of the text, of which the range begins at ``at``.
+    """
+    n, cands = scan_range(body, head, head + size)
+    if first and n:
+        cands = [(0, 3, len(body) - len(body.lstrip()), 0), *cands]
+    tail = body[head:head + size].rstrip()
+    end = len(tail)
+    if end == size and (m := _WORD.match(body, head + size)):  # the last word goes on into the halo
+        end = m.end() - head
+    return n, end + at if tail else -1, [(w, v, s + at, e + at) for w, v, s, e in cands]
+
+
+def pieces_of(text: str, limit: int = LIMIT, overlap: int = OVERLAP, range_chars: int = RANGE_CHARS, group_words: int = GROUP_WORDS) -> tuple[int, list[tuple[int, int, int, int]]]:
+    """Words of ``text`` and its pieces (start, end, first word, words): ranges scanned, stitched and planned."""
+    base, end, cands = 0, 0, []
+    for lo in range(0, len(text), range_chars):
+        left = max(0, lo - HALO)
+        size = min(range_chars, len(text) - lo)
+        n, last, own = boundary_table(text[left:lo + size + 2 * HALO], lo - left, size, lo, lo == 0)
+        cands += [(w + base, v, s, e) for w, v, s, e in own]
+        base, end = base + n, max(end, last)
+    at = [c[0] for c in cands]
+    out = []
+    for g in range(-(-base // group_words)):
+        lo, hi = bisect_left(at, g * group_words - limit // 2 - 2 * overlap), bisect_right(at, (g + 1) * group_words)
+        out += _plan_group(cands[lo:hi], g, base, end, limit, overlap, group_words)
+    return base, out
+
+
+_KINDS = {"key": pa.int64(), "piece_no": pa.int64(), "start": pa.int64(), "end": pa.int64(), "first_word": pa.int64(), "n_words": pa.int64(), "total_words": pa.int64(), "piece": pa.string()}
+
+
+def _split(df: DataFrame, key: str, text: str, with_text: bool, limit: int, overlap: int, range_chars: int, group_words: int) -> DataFrame:
+    _check(limit, overlap)
+    names = [k for k in _KINDS if with_text or k != "piece"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: dict[str, list] = {k: [] for k in ("key", "range_no", "n_ranges", "n_words", "last_end", "cands", "pieces")}
-            for key, no, ranges, body, head in zip(*(c.to_pylist() for c in b.columns)):
-                pieces = None
-                if ranges == 1:
-                    n = len(body.split())
-                    first = len(body) - len(body.lstrip())
-                    end = len(body.rstrip())
-                    if n <= limit:
-                        pieces = [(first, end, n)] if n else []
-                        cands = []
-                    else:
-                        n, cands = scan_range(body, 0, len(body))
-                        cands = [(0, 3, first, 0), *cands]
-                        pieces = _plan_group(cands, 0, n, end, limit, overlap)
-                        cands = []
-                else:
-                    lo = head
-                    hi = len(body) if no == ranges - 1 else min(len(body), lo + step)
-                    n, cands = scan_range(body, lo, hi)
-                    if no == 0 and n:
-                        cands = [(0, 3, len(body[lo:]) - len(body[lo:].lstrip()), 0), *cands]
-                    # the end of the last word that starts here, for the end of the whole text
-                    tail = body[lo:hi].rstrip()
-                    end = len(tail)
-                    if end == hi - lo:
-                        m = _WORD.match(body, hi)
-                        end = m.end() - lo if m else end
-                    base = no * step
-                    cands = [(w, lv, s + base, e + base) for w, lv, s, e in cands]
-                    end = end + base if tail else -1
-                for k, v in zip(out, (key, no, ranges, n, end, cands, pieces)):
-                    out[k].append(v)
-            quad = pa.list_(pa.struct([("w", pa.int64()), ("level", pa.int32()), ("s", pa.int64()), ("e", pa.int64())]))
-            trip = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64()), ("n", pa.int64())]))
-            name = lambda rows, keys: [None if r is None else [dict(zip(keys, x)) for x in r] for r in rows]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(out["key"], pa.int64()), pa.array(out["range_no"], pa.int32()), pa.array(out["n_ranges"], pa.int32()),
-                    pa.array(out["n_words"], pa.int64()), pa.array(out["last_end"], pa.int64()),
-                    pa.array(name(out["cands"], "w level s e".split()), quad), pa.array(name(out["pieces"], "s e n".split()), trip),
-                ],
-                names=["key", "range_no", "n_ranges", "n_words", "last_end", "cands", "pieces"],
-            )
+            rows: list[tuple] = []
+            held = 0
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                total, pieces = pieces_of(t, limit, overlap, range_chars, group_words)
+                for i, (s, e, w, n) in enumerate(pieces):
+                    rows.append((k, i, s, e, w, n, total, t[s:e]) if with_text else (k, i, s, e, w, n, total))
+                    held += e - s if with_text else 64
+                    if held > 1 << 24:  # a long text's pieces leave in portions
+                        yield batch(rows)
+                        held = 0
+            yield batch(rows)
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows)) if rows else [()] * len(names)
+        rows.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[k]) for c, k in zip(cols, names)], names=names)
+
+    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where("text is not null and key is not null")
+    return rows.mapInArrow(run, ", ".join(f"{k} {'string' if k == 'piece' else 'long'}" for k in names))
+
 
-    return run
+def piece_offsets(df: DataFrame, key: str = "chunk_no", text: str = "text", limit: int = LIMIT, overlap: int = OVERLAP, range_chars: int = RANGE_CHARS, group_words: int = GROUP_WORDS) -> DataFrame:
+    """Ordered pieces of every text of ``df`` as offsets, in one pass without a shuffle.
+
+    Columns: ``key, piece_no`` (from 0), ``start, end`` (characters), ``first_word, n_words, total_words``. A text of at
+    most ``limit`` words is one piece; null, empty and blank texts have none, rows without key are left out. Pieces hold
+    at most ``limit`` words, end at a paragraph, line or sentence end where one lies within reach (else at a word), and
+    each begins about ``overlap`` words before the end of the one before. Words are parted by any white space, no-break
+    space included; the table's own token counts are never read. Rows of one key are split each on its own; other columns are
+    ignored.
+    """
+    return _split(df, key, text, False, limit, overlap, range_chars, group_words)
 
 
-_SCAN = (
-    "key long, range_no int, n_ranges int, n_words long, last_end long, "
-    "cands array<struct<w:long,level:int,s:long,e:long>>, pieces array<struct<s:long,e:long,n:long>>"
-)
+def split_oversized(df: DataFrame, key: str = "chunk_no", text: str = "text", limit: int = LIMIT, overlap: int = OVERLAP, range_chars: int = RANGE_CHARS, group_words: int = GROUP_WORDS) -> DataFrame:
+    """:func:`piece_offsets` with each piece's text, cut out in the same pass: ``key, piece_no, first_word, n_words, total_words, piece``."""
+    got = _split(df, key, text, True, limit, overlap, range_chars, group_words)
+    return got.select(F.col("key").alias(key), "piece_no", "first_word", "n_words", "total_words", "piece")
+
+
+def coverage(pieces: DataFrame, key: str = "chunk_no", limit: int = LIMIT) -> DataFrame:
+    """(key, n_words, covered, within_limit) of each split text: words in all, words in at least one piece, no piece too long."""
+    before = Window.partitionBy("key").orderBy("piece_no").rowsBetween(Window.unboundedPreceding, -1)
+    upto = F.coalesce(F.max(F.col("first_word") + F.col("n_words")).over(before), F.lit(0))
+    new = pieces.withColumn("new", F.greatest(F.col("first_word") + F.col("n_words") - F.greatest(F.col("first_word"), upto), F.lit(0)))
+    return new.groupBy(F.col("key").alias(key)).agg(
+        F.max("total_words").alias("n_words"), F.sum("new").alias("covered"), (F.max("n_words") <= limit).alias("within_limit")
+    ).select(key, F.expr("n_words"), "covered", "within_limit")
+
+
+# ---- files ----------------------------------------------------------------------------------------------------------
+
+_SCAN = "key long, range_no int, n_words long, last_end long, cands array<struct<w:long,level:int,s:long,e:long>>"
 
 
 def _stitch(scanned: DataFrame, limit: int, overlap: int, group_words: int = GROUP_WORDS) -> DataFrame:
     """(key, piece_no, start, end, n_words, total_words) of all keys from their ranges' boundary tables."""
-    one = scanned.where("n_ranges = 1").select(
-        "key", F.posexplode("pieces").alias("piece_no", "p"), F.col("n_words").alias("total_words")
-    ).select("key", F.col("piece_no").cast("long"), F.col("p.s").alias("start"), F.col("p.e").alias("end"), F.col("p.n").alias("n_words"), "total_words")
-    many = scanned.where("n_ranges > 1")
-    slim = many.select("key", "range_no", "n_words", "last_end")
+    slim = scanned.select("key", "range_no", "n_words", "last_end")
     upto = Window.partitionBy("key").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
     base = slim.select("key", "range_no", F.coalesce(F.sum("n_words").over(upto), F.lit(0)).alias("base"))
     whole = slim.groupBy("key").agg(F.sum("n_words").alias("total"), F.max("last_end").alias("text_end"))
     w = (F.col("base") + F.col("c.w")).alias("w")
-    cands = many.join(base, ["key", "range_no"]).select("key", "base", F.explode("cands").alias("c")).select("key", w, "c.level", "c.s", "c.e")
+    cands = scanned.join(base, ["key", "range_no"]).select("key", "base", F.explode("cands").alias("c")).select("key", w, "c.level", "c.s", "c.e")
     own = F.greatest(F.floor((F.col("w") - 1) / group_words), F.lit(0)).cast("long")
     near = F.when(F.col("w") > (own + 1) * group_words - (limit // 2 + 2 * overlap), F.array(own, own + 1)).otherwise(F.array(own))
     grouped = cands.withColumn("g", F.explode(near)).join(whole, "key").where(F.col("g") * group_words < F.col("total"))
@@ -212,103 +250,76 @@ def _stitch(scanned: DataFrame, limit: int, overlap: int, group_words: int = GRO
     def plan_group(key, pdf):
         import pandas as pd
 
-        rows = list(zip(pdf.w, pdf.level, pdf.s, pdf.e))
-        got = _plan_group([tuple(map(int, r)) for r in rows], int(key[1]), int(pdf.total[0]), int(pdf.text_end[0]), limit, overlap, group_words)
+        rows = [tuple(map(int, r)) for r in zip(pdf.w, pdf.level, pdf.s, pdf.e)]
+        got = _plan_group(rows, int(key[1]), int(pdf.total[0]), int(pdf.text_end[0]), limit, overlap, group_words)
         return pd.DataFrame(
-            [(key[0], key[1], i, s, e, n, int(pdf.total[0])) for i, (s, e, n) in enumerate(got)],
+            [(key[0], key[1], i, s, e, n, int(pdf.total[0])) for i, (s, e, _, n) in enumerate(got)],
             columns=["key", "g", "local_no", "start", "end", "n_words", "total_words"],
         )
 
     pieces = grouped.groupBy("key", "g").applyInPandas(plan_group, "key long, g long, local_no long, start long, end long, n_words long, total_words long")
+    pieces = materialize(pieces, "pieces")
     earlier = Window.partitionBy("key").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
     offs = pieces.groupBy("key", "g").count().select("key", "g", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("off"))
-    rest = pieces.join(offs, ["key", "g"]).select("key", (F.col("off") + F.col("local_no")).alias("piece_no"), "start", "end", "n_words", "total_words")
-    return one.unionByName(rest)
+    return pieces.join(offs, ["key", "g"]).select("key", (F.col("off") + F.col("local_no")).alias("piece_no"), "start", "end", "n_words", "total_words")
 
 
-def piece_offsets(df: DataFrame, key: str = "chunk_no", text: str = "text", limit: int = LIMIT, overlap: int = OVERLAP, range_chars: int = RANGE_CHARS, group_words: int = GROUP_WORDS) -> DataFrame:
-    """Ordered pieces of every text of ``df`` as offsets.
+class _Reader:
+    """Byte ranges of files on any file system pyarrow knows; a file stays open while it is asked for."""
 
-    Columns: ``key, piece_no`` (from 0), ``start, end`` (characters), ``n_words, total_words``. A text of at most
-    ``limit`` words is one piece; null, empty and blank texts have none. Pieces hold at most ``limit`` words, end at
-    a paragraph, line or sentence end where one lies within reach (else at a word), and each begins about ``overlap``
-    words before the end of the one before. Words are parted by any white space, no-break space included; the
-    table's own token counts are never read. Keys must be unique; other columns are ignored.
-    """
-    _check(limit, overlap)
-    if range_chars > 2 * group_words:
-        raise ValueError("a range must not hold more words than a group")
-    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where("text is not null and key is not null")
-    size = F.length("text")
-    ranges = F.greatest(F.ceil(size / range_chars), F.lit(1)).cast("int")
-    rows = rows.withColumn("n_ranges", ranges).select(
-        "key", F.explode(F.sequence(F.lit(0), F.col("n_ranges") - 1)).alias("range_no"), "n_ranges", "text"
-    )
-    left = F.greatest(F.col("range_no") * range_chars - HALO, F.lit(0))
-    body = F.when(F.col("n_ranges") == 1, F.col("text")).otherwise(
-        F.substring(F.col("text"), left + 1, F.lit(range_chars) + 2 * HALO)
-    )
-    rows = rows.select("key", "range_no", "n_ranges", body.alias("body"), (F.col("range_no") * range_chars - left).cast("int").alias("head"))
-    return _stitch(rows.mapInArrow(_scan_tables(limit, overlap, range_chars), _SCAN), limit, overlap, group_words)
-
-
-def split_oversized(df: DataFrame, key: str = "chunk_no", text: str = "text", **options) -> DataFrame:
-    """:func:`piece_offsets` with each piece's text, cut out by offset: ``key, piece_no, n_words, total_words, piece``."""
-    offs = piece_offsets(df, key, text, **options)
-    return offs.join(df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("_t")), "key").select(
-        F.col("key").alias(key), "piece_no", "n_words", "total_words",
-        F.substring(F.col("_t"), (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")).alias("piece"),
-    )
-
-
-def split_files(spark: SparkSession, files: list[tuple[str, int]], limit: int = LIMIT, overlap: int = OVERLAP, range_bytes: int = 1 << 22) -> DataFrame:
-    """Pieces of giant UTF-8 files: (path, size) pairs on a mounted shared folder, read range by range.
+    def __init__(self):
+        self.path = self.file = None
+
+    def at(self, path: str, start: int, size: int) -> bytes:
+        if path != self.path:
+            from pyarrow import fs
+
+            system, inner = fs.FileSystem.from_uri(re.sub(r"^file:/+", "/", path))
+            if self.file:
+                self.file.close()
+            self.path, self.file = path, system.open_input_file(inner)
+        return self.file.read_at(size, start)
+
+
+def text_files(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
+    """(path, size) of a folder's files, by name; only the listing is read."""
+    rows = spark.read.format("binaryFile").load(folder).select("path", "length").collect()  # one row a file
+    return sorted((r.path, r.length) for r in rows if r.length)
+
+
+def split_files(spark: SparkSession, files: list[tuple[str, int]], limit: int = LIMIT, overlap: int = OVERLAP, range_bytes: int = 1 << 22, group_words: int = GROUP_WORDS) -> DataFrame:
+    """Pieces of giant UTF-8 files: (path, size) pairs that every executor can open, read range by range.
 
     Columns ``path, piece_no, start, end`` (bytes), ``n_words, piece``. Neither scanning nor emitting reads more than
     a range or a piece at a time. Bytes that are no UTF-8 separate nothing and stay in the piece, decoded leniently.
     """
     _check(limit, overlap)
     names = spark.createDataFrame([(i, p, s) for i, (p, s) in enumerate(files)], "key long, path string, size long")
-    todo = names.select(
-        "key", "path", "size", F.greatest(F.ceil(F.col("size") / range_bytes), F.lit(1)).cast("int").alias("n_ranges")
-    ).select("*", F.explode(F.sequence(F.lit(0), F.col("n_ranges") - 1)).alias("range_no"))
-    todo = todo.repartition("key", "range_no")
+    ranges = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("size") / range_bytes), F.lit(1)).cast("int") - 1)
+    todo = names.select("key", "path", "size", F.explode(ranges).alias("range_no")).repartition("key", "range_no")
 
     def scan(batches):
+        reader = _Reader()
         for b in batches:
-            out = []
             for r in b.to_pylist():
                 lo = r["range_no"] * range_bytes
-                hi = min(r["size"], lo + range_bytes)
-                with open(r["path"], "rb") as f:
-                    f.seek(max(0, lo - HALO))
-                    raw = f.read(hi - max(0, lo - HALO) + 4 * HALO)
-                body = _one_char_a_byte(raw)
-                head = lo - max(0, lo - HALO)
-                n, cands = scan_range(body, head, head + hi - lo)
-                if lo == 0 and n:
-                    cands = [(0, 3, len(body) - len(body.lstrip()), 0), *cands]
-                tail = body[head:head + hi - lo].rstrip()
-                end = len(tail)
-                if end == hi - lo and (m := _WORD.match(body, head + hi - lo)):
-                    end = m.end() - head
-                out.append((r["key"], r["range_no"], 2, n, end + lo if tail else -1, [dict(w=w, level=v, s=s + lo, e=e + lo) for w, v, s, e in cands], None))
-            cols = list(zip(*out)) if out else [[]] * 7
-            quad = pa.list_(pa.struct([("w", pa.int64()), ("level", pa.int32()), ("s", pa.int64()), ("e", pa.int64())]))
-            trip = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64()), ("n", pa.int64())]))
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), quad, trip]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["key", "range_no", "n_ranges", "n_words", "last_end", "cands", "pieces"])
-
-    pieces = _stitch(todo.mapInArrow(scan, _SCAN), limit, overlap).join(names, "key")
+                left, size = max(0, lo - HALO), min(r["size"] - lo, range_bytes)
+                body = _one_char_a_byte(reader.at(r["path"], left, lo - left + size + 4 * HALO))
+                n, last, cands = boundary_table(body, lo - left, size, lo, lo == 0)
+                cands = [dict(w=w, level=v, s=s, e=e) for w, v, s, e in cands]
+                quad = pa.list_(pa.struct([("w", pa.int64()), ("level", pa.int32()), ("s", pa.int64()), ("e", pa.int64())]))
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), quad)
+                row = (r["key"], r["range_no"], n, last, cands)
+                yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(row, kinds)], names=["key", "range_no", "n_words", "last_end", "cands"])
+
+    scanned = materialize(todo.mapInArrow(scan, _SCAN), "ranges")
+    pieces = _stitch(scanned, limit, overlap, group_words).join(F.broadcast(names) if len(files) <= 10_000 else names, "key")
 
     def emit(batches):
+        reader = _Reader()
         for b in batches:
             rows = b.to_pylist()
-            text = []
-            for r in rows:
-                with open(r["path"], "rb") as f:
-                    f.seek(r["start"])
-                    text.append(f.read(r["end"] - r["start"]).decode("utf-8", "replace"))
+            text = [reader.at(r["path"], r["start"], r["end"] - r["start"]).decode("utf-8", "replace") for r in rows]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[k] for r in rows], t) for k, t in (("path", pa.string()), ("piece_no", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("n_words", pa.int64()))] + [pa.array(text, pa.string())],
                 names=["path", "piece_no", "start", "end", "n_words", "piece"],

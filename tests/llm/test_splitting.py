@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from siltra.llm.splitting import piece_offsets, scan_range, split_files, split_oversized
+from siltra.llm.splitting import RANGE_CHARS, coverage, piece_offsets, scan_range, split_files, split_oversized, text_files
 
 
 def text_of(rng, n, sentence=True):
@@ -29,7 +29,7 @@ def check(text, pieces, limit=400, overlap=80):
     assert upto == len(words)
 
 
-@pytest.mark.parametrize("range_chars", [1 << 16, 700])
+@pytest.mark.parametrize("range_chars", [1 << 16, RANGE_CHARS, 300])
 def test_pieces_cover_the_text(spark, range_chars):
     rng = random.Random(4)
     texts = [text_of(rng, n) for n in (0, 1, 399, 400, 401, 1000, 2500)] + [text_of(rng, 900, False), "x" * 3000, "   ", None, "no end " * 300]
@@ -60,7 +60,7 @@ def test_many_groups_meet_at_anchors(spark):
     rng = random.Random(5)
     text = text_of(rng, 9000)
     df = spark.createDataFrame([(1, text)], "chunk_no long, text string")
-    check(text, split_oversized(df, range_chars=4000, group_words=2000).orderBy("piece_no").collect())
+    check(text, split_oversized(df, range_chars=1000, group_words=2000).orderBy("piece_no").collect())
 
 
 def test_files_by_byte_ranges(spark, tmp_path):
@@ -97,3 +97,28 @@ def test_ranges_count_each_word_once():
     text = "alpha beta gamma delta. epsilon zeta"
     for width in range(1, len(text) + 1):
         assert sum(scan_range(text, lo, min(len(text), lo + width))[0] for lo in range(0, len(text), width)) == 6
+
+
+def test_rows_of_one_key_stay_apart(spark):
+    rng = random.Random(9)
+    texts = [text_of(rng, n) for n in (50, 900, 900, 1200)]
+    df = spark.createDataFrame([(7, t) for t in texts] + [(None, texts[1])], "chunk_no long, text string")
+    got = split_oversized(df).collect()
+    assert sorted(r.total_words for r in got if r.piece_no == 0) == [50, 900, 900, 1200]
+    for t in texts:
+        mine = [r.piece for r in got if r.piece in t]
+        assert mine and set(" ".join(mine).split()) == set(t.split())
+
+
+def test_columns_and_files_agree(spark, tmp_path):
+    rng = random.Random(10)
+    text = text_of(rng, 6000)
+    df = spark.createDataFrame([(1, text)], "chunk_no long, text string")
+    want = [r.piece for r in split_oversized(df, group_words=2500).orderBy("piece_no").collect()]
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "a.txt").write_text(text)
+    files = text_files(spark, str(tmp_path / "f"))
+    got = [r.piece for r in split_files(spark, files, range_bytes=3000, group_words=2500).orderBy("piece_no").collect()]
+    assert got == want
+    (row,) = coverage(piece_offsets(df, group_words=2500)).collect()
+    assert (row.n_words, row.covered, row.within_limit) == (6000, 6000, True)
