@@ -1,13 +1,20 @@
 """Evaluation passages inside a corpus, by the q-gram lemma in diagonal bands.
 
-If a run of an item of L characters stands in a document with at most e edits, the two share at least
-L - q + 1 - q e character q-grams on at most e + 1 neighbouring diagonals (document place less item place). For each
-document the shared q-grams are counted in overlapping bands of diagonals; bands that reach the bound are kept, and
-each kept region is verified by an alignment that never leaves its band.
+A window of an item (``words`` consecutive words with the blanks around them, L characters) that stands in a document
+with at most e edits shares at least L - q + 1 - q e character q-grams with it, all on e + 1 neighbouring diagonals
+(document place less item place). Every document goes through the same four steps, all windows alike:
+
+1. *anchors*: every ``step``-th q-gram of the document is looked up among the items' q-grams. Bands hold 2 (e + 1)
+   diagonals and overlap by half, so that any e + 1 neighbours lie in one. Each edit spoils at most ceil(q / step)
+   anchors, so a near copy of a window keeps ``need`` of them in one band; windows with as many go on.
+2. *count*: all q-grams that such a window shares in its band are counted and held to its bound.
+3. *alignment*: windows that reach it are aligned with the document, never leaving the band; the distance is exact.
+4. a document holds an item if the least distance of its windows is within the budget.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,26 +22,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltra.llm.common import words_of
+from siltra.llm.common import materialize, words_of
 
 #: Consecutive words that make a leak; characters of a q-gram; edits allowed within a run.
-WORDS, Q, EDITS = 12, 12, 0
-#: Bytes of normalised item text up to which the q-gram index goes to every task; beyond it the items go in slices.
-SLICE_BYTES = 8 << 20
+WORDS, Q, EDITS = 12, 8, 2
+#: Characters of item text up to which the index is sent to every task; beyond it q-grams meet by a shuffle.
+INDEX_CHARS = 8 << 20
+#: Characters of documents worked on at once.
+PORTION = 1 << 18
+#: Bits of the filter that thins the corpus's q-grams before they are shuffled (8 MB), and rows it travels in.
+FILTER_BITS, FILTER_ROWS = 26, 256
+#: Parts of a q-gram or item that more than 1 / HOT_PARTS of the rows have.
+SALT, HOT_PARTS = 64, 1000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 22
 
 
 def normalised(text: str | None) -> bytes:
-    return " ".join(words_of(text)).encode()
+    """Words in lower case, a blank around each; ``b" "`` where there is none."""
+    return (" " + " ".join(words_of(text)) + " ").encode()
 
 
 def _grams(data: np.ndarray, q: int) -> np.ndarray:
-    """64-bit rolling hash of each q-gram of a byte array (two odd multipliers' powers, wrapping)."""
+    """64-bit hash of each q-gram of a byte array, built from those of half its length."""
     n = len(data) - q + 1
     if n <= 0:
         return np.empty(0, dtype=np.uint64)
-    # powers of two build any q: hash of 2m bytes from two of m bytes
     size, have = 1, data.astype(np.uint64) + np.uint64(1)
     out, at = None, 0
     left = q
@@ -52,246 +65,301 @@ def _grams(data: np.ndarray, q: int) -> np.ndarray:
     return out
 
 
-def _shortest_run(text: bytes, words: int) -> int:
-    """Characters of the shortest ``words`` consecutive words of a text that has as many."""
-    ends = [i for i, c in enumerate(text) if c == 32] + [len(text)]
-    starts = [0] + [i + 1 for i in ends[:-1]]
-    return min(ends[i + words - 1] - starts[i] for i in range(len(ends) - words + 1))
+def _windows(text: bytes, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each run of ``words`` words in a normalised text, with the blanks around it."""
+    blanks = np.flatnonzero(np.frombuffer(text, dtype=np.uint8) == 32)
+    return blanks[:-words], blanks[words:] + 1
+
+
+def _expand(lo: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ranges [lo, lo + count): the number of the range, and each of its members."""
+    of = np.repeat(np.arange(len(lo)), count)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + lo[of]
 
 
 class QGramIndex:
-    """q-grams of the items, by hash, with a bit table in front."""
+    """Windows and q-grams of a set of items; finds those that stand in documents within the edit budget."""
 
     def __init__(self, items: list[tuple[int, str]], words: int = WORDS, q: int = Q, edits: int = EDITS):
-        self.words, self.q, self.edits = words, q, edits
+        self.q, self.edits, self.width = q, edits, 2 * (edits + 1)
         texts = [(i, normalised(t)) for i, t in items]
-        texts = [(i, t) for i, t in texts if t.count(b" ") >= words - 1]  # a shorter item has no run
+        texts = [(i, t) for i, t in texts if t.count(b" ") > words]  # a shorter item has no run
         self.ids = [i for i, _ in texts]
-        self.texts = [t for _, t in texts]
-        # characters of each item's shortest run, and the q-grams that must be left of it after the edits
-        self.runs = np.array([_shortest_run(t, words) for t in self.texts], dtype=np.int64)
-        self.bounds = np.maximum(1, self.runs - q + 1 - q * edits)
-        self.least = int(self.runs.min(initial=1 << 30))
-        self.bound = int(self.bounds.min(initial=1 << 30))
-        hashes, item, place = [], [], []
-        for n, t in enumerate(self.texts):
-            h = _grams(np.frombuffer(t, dtype=np.uint8), q)
-            hashes.append(h)
-            item.append(np.full(len(h), n, dtype=np.int32))
-            place.append(np.arange(len(h), dtype=np.int32))
-        h = np.concatenate(hashes) if hashes else np.empty(0, dtype=np.uint64)
-        self.joined = np.frombuffer(b"\1" + b"\1".join(self.texts) + b"\1", dtype=np.uint8)
-        sizes = np.fromiter(map(len, self.texts), dtype=np.int64, count=len(self.texts)) + 1
-        self.begins = np.cumsum(sizes) - sizes + 1
-        order = np.argsort(h, kind="stable")
-        self.hash = h[order]
-        self.item = np.concatenate(item)[order] if item else np.empty(0, dtype=np.int32)
-        self.place = np.concatenate(place)[order] if place else np.empty(0, dtype=np.int32)
+        joined = b"\1".join(t for _, t in texts)
+        self.joined = np.frombuffer(joined, dtype=np.uint8)
+        if not texts:
+            return
+        sizes = np.fromiter((len(t) for _, t in texts), dtype=np.int64, count=len(texts)) + 1
+        self.begins = np.cumsum(sizes) - sizes
+        parts = [_windows(t, words) for _, t in texts]
+        self.start = np.concatenate([s + b for (s, _), b in zip(parts, self.begins)])
+        self.end = np.concatenate([e + b for (_, e), b in zip(parts, self.begins)])
+        long = self.end - self.start
+        # the budget of a window that is too short for the lemma is what the lemma still can serve
+        self.budget = np.minimum(edits, (long - q) // q).clip(0)
+        self.bound = long - q + 1 - q * self.budget
+        self.longest, least = int(long.max()), int(long.min())
+        stretch = int((-(-(long - self.budget) // (self.budget + 1))).min())  # without edits, in the worst window
+        self.step = max(1, min((stretch - q + 1) // 2, q // 2))
+        self.need = np.maximum(1, (long - self.budget - q + 1) // self.step - self.budget * -(-q // self.step))
+        # at each place: the least need and the greatest length of the windows that cover it
+        self.need_at, self.wide_at = np.full(len(joined) + 1, 1 << 40), np.zeros(len(joined) + 1, dtype=np.int64)
+        for s, e, n in zip(self.start.tolist(), self.end.tolist(), self.need.tolist()):
+            np.minimum(self.need_at[s:e], n, out=self.need_at[s:e])
+            np.maximum(self.wide_at[s:e], e - s, out=self.wide_at[s:e])
+        # of the q-grams of a near copy at most e (q + 1) aren't among the items': elsewhere nothing has to be looked up
+        self.reach = least + edits - q + 1
+        self.crowd = max(1, self.reach - edits * (q + 1))
+        self.grams = _grams(self.joined, q)
+        self.order = np.argsort(self.grams, kind="stable")
+        self.hash = self.grams[self.order]
         self.bits = np.zeros(1 << _BITS, dtype=bool)
         self.bits[(self.hash >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
-    def regions(self, docs: list[bytes]) -> list[tuple[int, int, int, int, int]]:
-        """(document index, item index, band, first place, last place in the document) of the bands that reach the bound.
-
-        All documents of a batch are hashed as one array, parted by a byte that no item has.
-        """
-        sizes = np.fromiter(map(len, docs), dtype=np.int64, count=len(docs)) + 1
-        begins = np.cumsum(sizes) - sizes
-        h = _grams(np.frombuffer(b"\0".join(docs), dtype=np.uint8), self.q)
-        if not len(h) or not len(self.hash):
-            return []
+    def _anchors(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the documents, place in the items) of the sampled q-grams that both have, where they crowd."""
         some = self.bits[(h >> np.uint64(64 - _BITS)).astype(np.int64)]
-        # a run's q-grams crowd together whatever their diagonals are: elsewhere nothing has to be looked up
-        reach = self.least + self.edits - self.q + 1
-        upto = np.concatenate([[0], np.cumsum(some)])
         n = len(h)
-        crowd = upto[np.minimum(np.arange(n) + reach, n)] - upto[:n] >= self.bound
-        near = np.cumsum(np.concatenate([[0], crowd]))
-        at = np.flatnonzero(some)
-        at = at[near[at + 1] - near[np.maximum(at + 1 - reach, 0)] > 0]
-        if not self.edits:
-            # a run without edits covers every place of its diagonal: each stretch of `bound` places has one that is looked up
-            at = at[at % self.bound == 0]
-        if not len(at):
-            return []
+        upto = np.concatenate([[0], np.cumsum(some)])
+        full = upto[np.minimum(np.arange(n) + self.reach, n)] - upto[:n] >= self.crowd
+        near = np.concatenate([[0], np.cumsum(full)])
+        at = np.arange(0, n, self.step)
+        at = at[some[at]]
+        at = at[near[at + 1] - near[np.maximum(at + 1 - self.reach, 0)] > 0]
         lo, hi = np.searchsorted(self.hash, h[at], "left"), np.searchsorted(self.hash, h[at], "right")
-        count = hi - lo
-        if not count.any():
-            return []
-        place = np.repeat(at, count)
-        rows = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        doc = np.searchsorted(begins, place, "right") - 1
-        own = place - begins[doc]
-        item, diag = self.item[rows].astype(np.int64), own - self.place[rows]
-        if not self.edits:
-            return self._exact(docs, begins, place, doc, own, item, self.place[rows].astype(np.int64))
-        width = self.edits + 1
-        out = []
-        # bands of 2 (e + 1) diagonals that overlap by half: e + 1 neighbours always lie in one of them
-        band = diag // width
-        for shift in (0, 1) if self.edits else (0,):
-            low = ((band - shift) >> 1) if self.edits else band
-            order = np.lexsort((own, low, item, doc))
-            k = (doc[order], item[order], low[order], own[order])
-            # q-grams of one run lie within least + edits characters of each other, or the run is longer and they are dense
-            new = (np.diff(k[0]) != 0) | (np.diff(k[1]) != 0) | (np.diff(k[2]) != 0) | (np.diff(k[3]) > self.least + self.edits)
-            ends = np.flatnonzero(np.concatenate([new, [True]])) + 1
-            starts = np.concatenate([[0], ends[:-1]])
-            many = ends - starts >= self.bounds[k[1][starts]]
-            for s, e in zip(starts[many], ends[many]):
-                dd = k[3][s:e]
-                if self._dense(dd, int(k[1][s])):
-                    base = (2 * int(k[2][s]) + shift) * width if self.edits else int(k[2][s])
-                    out.append((int(k[0][s]), int(k[1][s]), base, int(dd[0]), int(dd[-1]) + self.q))
+        of, rows = _expand(lo, hi - lo)
+        return at[of], self.order[rows]
+
+    def _bands(self, place: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(lowest diagonal, window) of the windows that keep their need of anchors in one band."""
+        half, size = self.edits + 1, len(self.joined)
+        band = (place - there + size) // half
+        key = np.concatenate([(band + 1) * size + there, band * size + there])  # each anchor lies in two bands
+        key.sort()
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+        there = key % size
+        n = len(key)
+        need = self.need_at[there]
+        last = np.arange(n) + need - 1
+        first = np.flatnonzero((last < n) & (key[np.minimum(last, n - 1)] <= key + self.wide_at[there] - self.q))
+        # the windows whose first anchor in the band this is
+        base, at = key[first] - there[first], there[first]
+        before = np.where(first > 0, key[np.maximum(first - 1, 0)] - base, -1)
+        lo = np.searchsorted(self.start, np.maximum(before + 1, at - self.wide_at[at] + 1), "left")
+        of, win = _expand(lo, np.maximum(np.searchsorted(self.start, at, "right") - lo, 0))
+        count = np.searchsorted(key, base[of] + self.end[win] - self.q + 1, "left") - first[of]
+        good = count >= self.need[win]
+        return (base[of[good]] // size - 1) * half - size, win[good]
+
+    def _counted(self, h: np.ndarray, base: np.ndarray, win: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the windows whose shared q-grams in the band reach their bound."""
+        good = np.zeros(len(win), dtype=bool)
+        span = np.arange(self.longest - self.q + 1)
+        step = max(1, (1 << 21) // len(span))
+        for i in range(0, len(win), step):
+            start, end, low = self.start[win[i:i + step]], self.end[win[i:i + step]], base[i:i + step]
+            there = start[:, None] + span
+            here = there + low[:, None]
+            np.minimum(there, len(self.grams) - 1, out=there)
+            mine = self.grams[there]
+            shared = np.zeros(mine.shape, dtype=bool)
+            for d in range(self.width):
+                shared |= h.take(here, mode="clip") == mine
+                here += 1
+            shared &= span < (end - start - self.q + 1)[:, None]
+            good[i:i + step] = shared.sum(axis=1) >= self.bound[win[i:i + step]]
+        return base[good], win[good]
+
+    def distances(self, data: np.ndarray, base: np.ndarray, win: np.ndarray) -> np.ndarray:
+        """Edit distance of each window from the nearest stretch of ``data``, within its band of diagonals from ``base``."""
+        start, long = self.start[win], self.end[win] - self.start[win]
+        out = np.full(len(win), self.width, dtype=np.int16)
+        if not len(win):
+            return out
+        row = np.zeros((len(win), self.width), dtype=np.int16)
+        step = np.arange(self.width)
+        for i in range(int(long.max())):
+            at = start + i
+            here = data.take((at + base)[:, None] + step, mode="clip")
+            new = row + (here != self.joined[np.minimum(at, len(self.joined) - 1)][:, None])
+            np.minimum(new[:, :-1], row[:, 1:] + 1, out=new[:, :-1])
+            for k in range(1, self.width):
+                np.minimum(new[:, k], new[:, k - 1] + 1, out=new[:, k])
+            row = new
+            if (ended := long == i + 1).any():
+                out[ended] = row[ended].min(axis=1)
         return out
 
-    def _exact(self, docs, begins, place, doc, own, item, there) -> list[tuple[int, int, int, int, int]]:
-        """Regions on single diagonals: the shared q-grams next to each other around a looked-up one, counted by the run of
-        equal characters, for all candidates at once."""
-        data = np.frombuffer(b"\0" + b"\0".join(docs) + b"\0", dtype=np.uint8)
-        wide = int(self.runs.max())
-        out = []
-        for i in range(0, len(place), max(1, (1 << 22) // wide)):
-            j = slice(i, i + max(1, (1 << 22) // wide))
-            here, other = place[j] + 1, self.begins[item[j]] + there[j]
-            step = np.arange(wide)
-            same = lambda d: data[np.clip(here[:, None] + d, 0, len(data) - 1)] == self.joined[np.clip(other[:, None] + d, 0, len(self.joined) - 1)]  # noqa: B023, E731
-            right, left = same(step), same(-1 - step)
-            ahead = np.where(right.all(axis=1), wide, (~right).argmax(axis=1))
-            behind = np.where(left.all(axis=1), wide, (~left).argmax(axis=1))
-            for c in np.flatnonzero(ahead + behind - self.q + 1 >= self.bounds[item[j]]):
-                first = int(own[j][c] - behind[c])
-                out.append((int(doc[j][c]), int(item[j][c]), int(own[j][c] - there[j][c]), first, first + int(ahead[c] + behind[c])))
-        return out
-
-    def _dense(self, places: np.ndarray, item: int) -> bool:
-        """Whether some window of the item's shortest run holds its bound."""
-        b, reach = int(self.bounds[item]), int(self.runs[item]) + self.edits - self.q + 1
-        return len(places) >= b and bool((places[b - 1:] - places[:len(places) - b + 1] < reach).any())
-
-    def verify(self, doc: bytes, item: int, base: int, first: int, last: int) -> bool:
-        """Banded alignment of the region: a run of at least ``words`` whole words within the edit budget."""
-        text = self.texts[item]
-        width = 2 * (self.edits + 1) if self.edits else 1
-        if not self.edits:  # to the ends of the equal stretch
-            while first > max(0, base) and doc[first - 1] == text[first - 1 - base]:
-                first -= 1
-            while last < min(len(doc), len(text) + base) and doc[last] == text[last - base]:
-                last += 1
-        first = doc.rfind(b" ", 0, first + 1) + 1  # out to whole words
-        last = len(doc) if (e := doc.find(b" ", max(last - 1, 0))) < 0 else e
-        a = max(0, first - base - width)
-        z = min(len(text), last - base + 1)
-        a = text.rfind(b" ", 0, a + 1) + 1
-        z = len(text) if (e := text.find(b" ", z)) < 0 else e
-        if self.edits == 0:
-            return _longest_common_words(doc[first:last].split(b" "), text[a:z].split(b" ")) >= self.words
-        return _banded_words(doc[first:last].split(b" "), text[a:z].split(b" "), self.words, self.edits)
-
-    def leaks(self, texts: list[str | None]) -> list[list[int]]:
-        """For each text the ids of the items of which it holds a run."""
-        docs = [normalised(t) for t in texts]
-        if not self.texts:
-            return [[] for _ in docs]
-        found: list[set[int]] = [set() for _ in docs]
-        for doc, item, base, first, last in self.regions(docs):
-            if item not in found[doc] and self.verify(docs[doc], item, base, first, last):
-                found[doc].add(item)
-        return [sorted(self.ids[i] for i in f) for f in found]
-
-
-def _longest_common_words(a: list[bytes], b: list[bytes]) -> int:
-    """Longest run of equal consecutive words."""
-    best, upto = 0, [0] * (len(b) + 1)
-    for x in a:
-        now = [0] * (len(b) + 1)
-        for j, y in enumerate(b):
-            if x == y:
-                now[j + 1] = upto[j] + 1
-                if now[j + 1] > best:
-                    best = now[j + 1]
-        upto = now
-    return best
-
-
-def _edit_distance(a: bytes, b: bytes, most: int) -> int:
-    """Levenshtein distance within a band of ``most``; most + 1 if beyond."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    row = {j: j for j in range(min(len(b), most) + 1)}
-    for i, x in enumerate(a, 1):
-        new = {}
-        for j in range(max(0, i - most), min(len(b), i + most) + 1):
-            new[j] = i if j == 0 else min(row.get(j - 1, most + 1) + (x != b[j - 1]), row.get(j, most + 1) + 1, new.get(j - 1, most + 1) + 1)
-        row = new
-    return min(row.get(len(b), most + 1), most + 1)
-
-
-def _banded_words(a: list[bytes], b: list[bytes], words: int, edits: int) -> bool:
-    """Whether some ``words`` consecutive words of a stand within ``edits`` character edits of a stretch of b."""
-    for i in range(len(a) - words + 1):
-        left = b" ".join(a[i:i + words])
-        for j in range(len(b)):
-            right = b""
-            for m in range(j, min(len(b), j + words + edits)):
-                right = right + b" " + b[m] if right else b[m]
-                if len(right) > len(left) + edits:
-                    break
-                if _edit_distance(left, right, edits) <= edits:
-                    return True
-    return False
-
-
-def _portions(texts: list[str], chars: int = 2_000_000) -> Iterator[slice]:
-    """Slices of a batch of about so many characters, which bound the arrays in work; a longer text stands alone."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > chars:
-            yield slice(start, i)
-            start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield slice(start, len(texts))
-
-
-def item_slices(items: DataFrame, key: str = "item_id", text: str = "text", slice_bytes: int = SLICE_BYTES) -> list[list[tuple[int, str]]]:
-    """The items in slices of bounded size, read as a stated query set (it's held-out material, not the corpus)."""
-    out, size = [[]], 0
-    for r in items.select(F.col(key).cast("long"), text).where(F.col(text).isNotNull() & F.col(key).isNotNull()).toLocalIterator():
-        if size + len(r[1]) > slice_bytes and out[-1]:
-            out.append([])
-            size = 0
-        out[-1].append((r[0], r[1]))
-        size += len(r[1])
-    return [s for s in out if s]
+    def leaks(self, texts: list[str | None]) -> list[dict[int, int]]:
+        """For each text the items of which it holds a run, with the least edits of any run."""
+        found: list[dict[int, int]] = [{} for _ in texts]
+        if not self.ids:
+            return found
+        held: list[tuple[int, bytes]] = []
+        size = 0
+        lap = self.longest + self.width
+        for n, t in enumerate(texts):
+            doc = normalised(t)
+            for at in range(0, max(len(doc) - lap, 1), PORTION):  # pieces of a long text overlap by more than a run
+                piece = doc[at:at + PORTION + lap]
+                held.append((n, piece))
+                size += len(piece)
+                if size >= PORTION:
+                    self._search(held, found)
+                    held, size = [], 0
+        self._search(held, found)
+        return found
+
+    def _search(self, held: list[tuple[int, bytes]], found: list[dict[int, int]]) -> None:
+        if not held:
+            return
+        data = np.frombuffer(b"\0".join(p for _, p in held), dtype=np.uint8)
+        h = _grams(data, self.q)
+        if not len(h):
+            return
+        base, win = self._counted(h, *self._bands(*self._anchors(h)))
+        if not len(win):
+            return
+        sizes = np.fromiter((len(p) for _, p in held), dtype=np.int64, count=len(held)) + 1
+        starts = np.cumsum(sizes) - sizes
+        owner = np.fromiter((n for n, _ in held), dtype=np.int64, count=len(held))
+        # the middle of a near copy lies in its document whatever its diagonal is
+        doc = owner[np.clip(np.searchsorted(starts, (self.start[win] + self.end[win]) // 2 + base + self.edits + 1, "right") - 1, 0, len(held) - 1)]
+        item = np.searchsorted(self.begins, self.start[win], "right") - 1
+        pair = doc * len(self.ids) + item
+        # one window of each pair first; the others only where that one isn't free of edits already
+        _, one = np.unique(pair, return_index=True)
+        cost = np.full(len(win), self.width, dtype=np.int16)
+        cost[one] = self.distances(data, base[one], win[one])
+        rest = np.ones(len(win), dtype=bool)
+        rest[one] = False
+        rest &= ~np.isin(pair, pair[one[cost[one] == 0]])
+        rest = np.flatnonzero(rest)
+        for i in range(0, len(rest), 50_000):
+            cost[rest[i:i + 50_000]] = self.distances(data, base[rest[i:i + 50_000]], win[rest[i:i + 50_000]])
+        for d, i, c in zip(doc[(good := cost <= self.budget[win])].tolist(), item[good].tolist(), cost[good].tolist()):
+            known = found[d]
+            known[self.ids[i]] = min(c, known.get(self.ids[i], c))
+
+
+_indexes: dict[tuple, QGramIndex] = {}
+
+
+def _index_of(name: str, items: list[tuple[int, str]], *options: int) -> QGramIndex:
+    """The index of a broadcast, made once in each Python worker; a worker keeps one."""
+    if (name, *options) not in _indexes:
+        _indexes.clear()
+        _indexes[name, *options] = QGramIndex(items, *options)
+    return _indexes[name, *options]
+
+
+def _rows(out: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    cols = list(zip(*out)) if out else ([], [], [])
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["d", "i", "edits"])
+
+
+_FOUND = "d long, i long, edits long"
 
 
 def leaked_items(
-    corpus: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", words: int = WORDS, q: int = Q, edits: int = EDITS
-) -> DataFrame:
-    """(doc_key, item_key): each document with each item of which at least ``words`` consecutive words stand in it.
-
-    Words are runs of letters and digits without regard to case. Null and short texts hold nothing; repeated rows of a
-    document or item give one row. The items are a stated query set: slices of at most SLICE_BYTES go to the tasks one
-    after another, so neither driver nor task holds more, and the corpus is scanned where it lies, without a shuffle.
+    corpus: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text",
+    words: int = WORDS, q: int = Q, edits: int = EDITS, index_chars: int = INDEX_CHARS,
+) -> DataFrame:
+    """(doc_key, item_key, edits): each document with each item of which a run of ``words`` words stands in it with at
+    most ``edits`` edited characters, and the least edits of any such run (0: word for word).
+
+    Words are runs of letters and digits without regard to case; edits count in the run with single blanks between and
+    around its words. A run shorter than q (edits + 1) characters may have as many edits as the lemma still serves. Null and
+    short texts hold nothing; repeated rows of a document or item give one row; an empty table gives none.
+
+    Items of up to ``index_chars`` characters in all go to the tasks as one broadcast and the corpus is searched where
+    it lies. More items meet the corpus by a shuffle of q-grams (:func:`_shuffled`); the rows are the same.
     """
     spark = corpus.sparkSession
     docs = corpus.select(F.col(doc_key).cast("long").alias("d"), F.col(text).alias("t")).where("t is not null and d is not null")
-    schema = f"{doc_key} long, {item_key} long"
-    found = spark.createDataFrame([], schema)
-    for part in item_slices(items, item_key, text):
-        sent = spark.sparkContext.broadcast(part)
+    held = items.select(F.col(item_key).cast("long").alias("i"), F.col(text).alias("t")).where("t is not null and i is not null").distinct()
+    total = held.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
+    if total > index_chars:
+        found = _shuffled(docs, held, words, q, edits, -(-total // index_chars))
+    else:
+        sent = spark.sparkContext.broadcast([tuple(r) for r in held.collect()])  # at most index_chars characters
+
+        name = uuid.uuid4().hex
 
-        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = QGramIndex(sent.value, words, q, edits)
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = _index_of(name, sent.value, words, q, edits)
             for b in batches:
-                ds, its = [], []
-                keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-                for at in _portions(texts):
-                    for d, items_of in zip(keys[at], index.leaks(texts[at])):
-                        ds += [d] * len(items_of)
-                        its += items_of
-                yield pa.RecordBatch.from_arrays([pa.array(ds, pa.int64()), pa.array(its, pa.int64())], names=[doc_key, item_key])
-
-        found = found.unionByName(docs.mapInArrow(scan, schema))
-    return found.distinct()
+                yield _rows([(d, i, c) for d, own in zip(b.column(0).to_pylist(), index.leaks(b.column(1).to_pylist())) for i, c in own.items()])
+
+        found = docs.mapInArrow(scan, _FOUND)
+    return found.groupBy(F.col("d").alias(doc_key), F.col("i").alias(item_key)).agg(F.min("edits").alias("edits"))
+
+
+def _filter(grams: DataFrame) -> np.ndarray:
+    """Bit table of the items' q-grams: 2 ** FILTER_BITS bits whatever their number, put together from the tasks' tables."""
+    wide = (1 << FILTER_BITS) // FILTER_ROWS // 8
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << FILTER_BITS, dtype=bool)
+        for b in batches:
+            bits[b.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)] = True
+        rows = np.packbits(bits).reshape(FILTER_ROWS, wide)
+        some = np.flatnonzero(rows.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([rows[i].tobytes() for i in some], pa.binary())], names=["row", "bits"])
+
+    def merge(key, pdf):
+        import pandas as pd
+
+        return pd.DataFrame({"row": [key[0]], "bits": [np.bitwise_or.reduce([np.frombuffer(x, dtype=np.uint8) for x in pdf.bits]).tobytes()]})
+
+    out = np.zeros((FILTER_ROWS, wide), dtype=np.uint8)
+    for r in grams.mapInArrow(mark, "row long, bits binary").groupBy("row").applyInPandas(merge, "row long, bits binary").toLocalIterator():
+        out[r.row] = np.frombuffer(r.bits, dtype=np.uint8)
+    return np.unpackbits(out.reshape(-1)).view(bool)
+
+
+def _shuffled(docs: DataFrame, items: DataFrame, words: int, q: int, edits: int, slices: int) -> DataFrame:
+    """The same rows for items of any size: sampled q-grams of the corpus that pass a filter of fixed size meet those of
+    the items by a join on the q-gram; each document then meets its candidate items in groups of about ``index_chars``
+    characters, where the bands are counted and aligned as ever. Hot q-grams and hot items are salted."""
+    spark = docs.sparkSession
+
+    def item_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                one = QGramIndex([(i, t)], words, q, edits)
+                if one.ids:
+                    h = np.unique(one.grams).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), i)), pa.array(np.full(len(h), one.step))], names=["h", "i", "step"])
+
+    own = materialize(items.mapInArrow(item_grams, "h long, i long, step long"), "item-grams")
+    step = own.agg(F.coalesce(F.min("step"), F.lit(1))).first()[0]
+    bits = spark.sparkContext.broadcast(np.packbits(_filter(own.select("h"))))
+
+    def doc_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.unpackbits(bits.value).view(bool)
+        for b in batches:
+            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                h = _grams(np.frombuffer(normalised(t), dtype=np.uint8), q)[::step]
+                h = np.unique(h[known[h >> np.uint64(64 - FILTER_BITS)]]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), d, dtype=np.int64))], names=["h", "d"])
+
+    there = materialize(docs.mapInArrow(doc_grams, "h long, d long"), "doc-grams")
+    often = max(there.count() // HOT_PARTS, 1000)
+    hot = F.broadcast(there.groupBy("h").count().where(F.col("count") > often).select("h", F.lit(True).alias("hot")))  # at most HOT_PARTS rows
+    left = there.join(hot, "h", "left").select("h", "d", F.when(F.col("hot"), F.pmod(F.xxhash64("d"), F.lit(SALT))).otherwise(0).cast("int").alias("salt"))
+    every = F.sequence(F.lit(0), F.lit(SALT - 1))
+    right = own.join(hot, "h", "left").select("h", "i", F.explode(F.when(F.col("hot"), every).otherwise(F.array(F.lit(0)))).alias("salt"))
+    pairs = materialize(left.join(right, ["h", "salt"]).select("d", "i").distinct(), "pairs").withColumn("slice", F.pmod(F.xxhash64("i"), F.lit(slices)).cast("int"))
+    asked = pairs.withColumn("salt", F.pmod(F.xxhash64("d"), F.lit(SALT)).cast("int"))
+    told = asked.join(items.withColumn("salt", F.explode(every)), ["i", "salt"]).select("d", "slice", "i", F.col("t").alias("item"))
+    texts = docs.join(pairs.select("d", "slice").distinct(), "d").select(F.col("d").alias("own"), F.col("slice").alias("part"), "t")
+
+    def verify(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[tuple[int, int, int]] = []
+        if left.num_rows and right.num_rows:
+            index = QGramIndex(list(zip(right["i"].to_pylist(), right["item"].to_pylist())), words, q, edits)
+            out = [(key[0].as_py(), i, c) for found in index.leaks(left["t"].to_pylist()) for i, c in found.items()]
+        return pa.Table.from_batches([_rows(out)])
+
+    return texts.groupBy("own", "part").cogroup(told.groupBy("d", "slice")).applyInArrow(verify, _FOUND)

@@ -93,6 +93,11 @@ def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p8_near(spark, sf).where("edits = 0").select("doc_id", "item_id")
+
+
+def p8_near(spark: SparkSession, sf: str) -> DataFrame:
+    """Items of which a run stands in a document with at most two edits."""
     return leakage.leaked_items(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
 
 
@@ -117,7 +122,7 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         p1_found, p1_pieces, p1_cover, p1_files, p2_found, p2_copies, p3_found, p3_posteriors, p4_found, p4_redacted, p4_surrogates, p5_containers, p6_percentiles, p6_days,
-        p7_ids, p8_found, p9_found, p9_repetition, p9_thresholds, p9_flagged,
+        p7_ids, p8_found, p8_near, p9_found, p9_repetition, p9_thresholds, p9_flagged,
     )
     return {f.__name__: f for f in own}
 

@@ -43,27 +43,84 @@ def test_matches_brute_force(spark, seed):
     docs, items = corpus(seed)
     a = spark.createDataFrame([(d, t, "clash") for d, t in docs], "doc_id long, text string, item_id string")
     b = spark.createDataFrame([(i, t, 0) for i, t in items + items[:5]], "item_id long, text string, doc_id int")
-    got = [tuple(r) for r in lk.leaked_items(a, b).collect()]
+    got = [(r.doc_id, r.item_id) for r in lk.leaked_items(a, b).where("edits = 0").collect()]
     assert len(got) == len(set(got)) and set(got) == brute([x for x in docs if x[1]], [x for x in items if x[1]])
     assert len(got) > 20
 
 
-def test_long_words_and_slices(spark, monkeypatch):
+def test_long_words():
     long = " ".join(chr(97 + i) * 300 for i in range(15)) + " " + " ".join("abcdefghijklmn")
     docs = [(1, "start " + " ".join(chr(97 + i) * 300 for i in range(12)) + " end"), (2, "b c d e f g h i j k l m"), (3, "b c d e f g h i j k l")]
     items = [(7, long), (8, "b c d e f g h i j k l m n")]
-    assert {(d, i) for d, t in docs for i in lk.QGramIndex(items).leaks([t])[0]} == brute(docs, items) == {(1, 7), (2, 7), (2, 8)}
-    assert [len(s) for s in lk.item_slices(spark.createDataFrame(items, "item_id long, text string"), slice_bytes=100)] == [1, 1]
+    got = {(d, i) for d, t in docs for i, c in lk.QGramIndex(items).leaks([t])[0].items() if c == 0}
+    assert got == brute(docs, items) == {(1, 7), (2, 7), (2, 8)}
 
 
-def test_edits_within_the_budget():
+def distance(run, doc):
+    """Edits between ``run`` and the nearest stretch of ``doc``, by the whole table."""
+    row = [0] * (len(doc) + 1)
+    for i, x in enumerate(run, 1):
+        new = [i]
+        for j, y in enumerate(doc, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[j - 1] + 1))
+        row = new
+    return min(row)
+
+
+def near(docs, items, words, edits):
+    """Brute force: least distance of any window, where it is within the budget (window long enough for the lemma)."""
+    out = {}
+    for i, t in items:
+        w = words_of(t)
+        for p in range(len(w) - words + 1):
+            run = " " + " ".join(w[p:p + words]) + " "
+            for d, u in docs:
+                c = distance(run, " " + " ".join(words_of(u)) + " ")
+                if c <= edits and c < out.get((d, i), 99):
+                    out[d, i] = c
+    return out
+
+
+def typos(rng, text, n):
+    for _ in range(n):
+        at = rng.randrange(1, len(text) - 1)
+        kind = rng.randrange(3)
+        text = text[:at] + ("" if kind == 0 else rng.choice("abcxyz")) + text[at + (kind != 1):]
+    return text
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_near_copies_match_brute_force(seed):
+    rng = random.Random(seed)
+    vocab = ["lease", "garden", "harbour", "mapping", "of", "the", "seven", "report", "a", "northern"]
+    line = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    items = [(i, line(rng.randrange(6, 14))) for i in range(12)]
+    docs = []
+    for d in range(40):
+        w = rng.choice(items)[1]
+        docs.append((d, line(rng.randrange(4)) + " " + typos(rng, w, rng.randrange(5)) + " " + line(rng.randrange(4))))
+    want = near(docs, items, 6, 2)
+    found = lk.QGramIndex(items, words=6, q=5).leaks([t for _, t in docs])
+    assert {(d, i): c for (d, _), f in zip(docs, found) for i, c in f.items()} == want
+    assert {0, 1, 2} <= set(want.values()) and len(want) > 15
+
+
+def test_pieces_of_long_texts(monkeypatch):
+    rng = random.Random(5)
     item = "the quick brown fox jumps over the lazy dog while seven small birds sing aloud"
-    index = lk.QGramIndex([(1, item)], q=5, edits=2)
-    typo = item.replace("quick", "quikc").replace("seven", "sven")
-    one = item.replace("lazy", "lasy")
-    other = "the slow green cat walks under the tired cow while eight large fish swim about"
-    assert index.leaks(["x " + one + " y", other, "noise " * 40 + one]) == [[1], [], [1]]
-    assert lk.QGramIndex([(1, item)], q=5, edits=0).leaks([one.replace("jumps", "jumpz"), typo]) == [[], []]
+    noise = " ".join(f"n{i}" for i in range(3000))
+    monkeypatch.setattr(lk, "PORTION", 500)
+    docs = [noise[:at] + " " + typos(rng, item, 1) + " " + noise[at:] for at in range(0, 9000, 173)]
+    assert all(f == {1: 0} or f == {1: 1} for f in lk.QGramIndex([(1, item)]).leaks(docs))
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_both_ways_give_the_same_rows(spark, seed):
+    docs, items = corpus(seed)
+    a = spark.createDataFrame(docs + [(5, items[4][1]), (5, "other")], "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    sent = sorted(map(tuple, lk.leaked_items(a, b).collect()))
+    assert sorted(map(tuple, lk.leaked_items(a, b, index_chars=400).collect())) == sent and len(sent) > 20
 
 
 def test_gram_hashes_depend_on_all_bytes():
