@@ -54,31 +54,52 @@ def test_one_text_read_as_fields_in_two_ways(spark):
     assert {tuple(r) for r in fd.format_duplicates(df)[1].collect()} == {(1, 2), (1, 3), (1, 4)} == brute(rows)
 
 
-def test_ledger_takes_batches(spark, tmp_path):
-    rows = [(i, f"text {i % 7}") for i in range(1, 60)]
-    grouped = fd.with_group(fd.keyed(spark.createDataFrame(rows, "chunk_no long, text string")))
-    one = {tuple(r) for r in fd.build_ledger(grouped, 1).collect()}
-    assert one == {tuple(r) for r in fd.build_ledger(grouped, 3).collect()}
-    # day by day through files
-    path = str(tmp_path / "ledger")
-    fd.write_ledger(fd.batch_counts(grouped.where("key <= 20")), path)
-    later = fd.merge_ledger(spark.read.parquet(path), fd.batch_counts(grouped.where("key > 20"))).select("bucket", "grp", "copies", "keep_no")
-    assert one == {tuple(r) for r in later.collect()}
-
-
 def test_batches_are_grouped_on_their_own(spark, tmp_path):
-    # the second batch's text has no fields; the third links two groups of the first
+    # the second batch's text has no fields; the third links two groups of the first; each opens the stored ledger
     rows = [(1, "cd: 2\nab: 1"), (2, "cd: 2\na: b1"), (3, "e: 5\nf: 6"), (4, "lone")], [(11, "cd 2 ab 1"), (12, "a: b1\ncd: 2"), (13, "LONE"), (0, "f: 6\ne: 5")], [(21, "ab: 1\ncd: 2"), (22, "new")]
-    ledger = None
     for i, part in enumerate(rows):
-        ledger = fd.take_batch(ledger, fd.keyed(spark.createDataFrame(part, "chunk_no long, text string")))
-        fd.write_ledger(ledger, path := str(tmp_path / f"ledger{i}"))
-        ledger = spark.read.parquet(path)
+        ledger = fd.Ledger(spark, str(tmp_path / "ledger"))
+        ledger.take(fd.keyed(spark.createDataFrame(part, "chunk_no long, text string")))
         so_far = [r for part in rows[:i + 1] for r in part]
         links = brute(so_far)
         again = {k for _, k in links}
         groups = {k: 1 + sum(a == k for a, _ in links) for k, _ in so_far if k not in again}
-        assert {(r.keep_no, r.copies) for r in fd.distinct_records(ledger).collect()} == set(groups.items())
+        named = fd.Ledger(spark, str(tmp_path / "ledger")).named()
+        assert {(r.keep_no, r.copies) for r in fd.distinct_records(named).collect()} == set(groups.items())
+        assert {tuple(r) for r in fd.repeats(fd.keyed(spark.createDataFrame(so_far, "chunk_no long, text string")), named).collect()} == links
+
+
+def test_truly_separate_batches(spark, tmp_path):
+    rows = [(1, "cd: 2\nab: 1"), (2, "other"), (3, "ab: 1\ncd: 3"), (4, "cd 2 ab 1")]
+    df = spark.createDataFrame(rows, "chunk_no long, text string")
+    got = []
+    for part in ("chunk_no <= 2", "chunk_no > 2"):
+        got += [tuple(r) for r in fd.format_duplicates(df.where(part), batches=1, folder=str(tmp_path / "l"))[1].collect()]
+    assert got == [(1, 4)]
+
+
+def test_only_matching_buckets_are_read_and_written(spark, tmp_path):
+    ledger = fd.Ledger(spark, str(tmp_path / "l"), buckets=16)
+    ledger.take(fd.keyed(spark.createDataFrame([(i, f"text {i}") for i in range(300)], "chunk_no long, text string")))
+    assert set(ledger.at["counts"]) == set(range(16)) and set(ledger.at["counts"].values()) == {1}
+    again = fd.Ledger(spark, str(tmp_path / "l"))
+    again.take(fd.keyed(spark.createDataFrame([(900, "TEXT-5"), (901, "text 5")], "chunk_no long, text string")))
+    (met,) = [b for b, v in again.at["counts"].items() if v == 2]
+    files = again.read("counts", {met}).inputFiles()
+    assert len(files) == 1 and f"v=2/bucket={met}" in files[0]
+    assert {(r.keep_no, r.copies) for r in again.read("counts").where("copies > 1").collect()} == {(5, 3)}
+    assert again.read("counts").count() == 300 and all(len({f for f in again.read("counts", {b}).inputFiles()}) == 1 for b in range(16))
+
+
+def test_a_batch_that_was_cut_off_counts_for_nothing(spark, tmp_path):
+    ledger = fd.Ledger(spark, str(tmp_path / "l"))
+    batch = fd.keyed(spark.createDataFrame([(1, "a"), (2, "A")], "chunk_no long, text string"))
+    ledger.take(batch)
+    (tmp_path / "l" / "counts" / "v=2" / "bucket=1").mkdir(parents=True)  # written, but in no manifest
+    assert fd.distinct_records(fd.Ledger(spark, str(tmp_path / "l")).named()).first().copies == 2
+    again = fd.Ledger(spark, str(tmp_path / "l"))
+    again.take(batch)
+    assert fd.distinct_records(again.named()).first().copies == 4
 
 
 def test_random_batches_match_one(spark):
