@@ -63,7 +63,13 @@ def p3_posteriors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    return pii.detect_rows(_chunks(spark, sf)).select("chunk_no", "field", "pii_kind", "nth")
+    """Every value that got a surrogate."""
+    return pii.replaced(_chunks(spark, sf), DEMO_KEY)[0].select(F.col("key").alias("chunk_no"), "field", "pii_kind", "nth")
+
+
+def p4_clashes(spark: SparkSession, sf: str) -> DataFrame:
+    """Surrogates that two values share or that are real values, by kind."""
+    return pii.clashes(pii.replaced(_chunks(spark, sf), DEMO_KEY)[1])
 
 
 def p4_redacted(spark: SparkSession, sf: str) -> DataFrame:
@@ -121,7 +127,7 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
-        p1_found, p1_pieces, p1_cover, p1_files, p2_found, p2_copies, p3_found, p3_posteriors, p4_found, p4_redacted, p4_surrogates, p5_containers, p6_percentiles, p6_days,
+        p1_found, p1_pieces, p1_cover, p1_files, p2_found, p2_copies, p3_found, p3_posteriors, p4_found, p4_redacted, p4_surrogates, p4_clashes, p5_containers, p6_percentiles, p6_days,
         p7_ids, p8_found, p8_near, p9_found, p9_repetition, p9_thresholds, p9_flagged,
     )
     return {f.__name__: f for f in own}
@@ -179,6 +185,7 @@ def oracle_sql() -> dict[str, str]:
         "p1_cover": f"WITH n AS (SELECT chunk_no, len(regexp_extract_all(text, '{_WS}')) AS n FROM chunk_structured) SELECT chunk_no, n AS n_words, n AS covered, true AS within_limit FROM n WHERE n > 400",
         "p2_found": _P2 + "SELECT keep_no, chunk_no FROM grouped JOIN kept USING (grp) WHERE chunk_no > keep_no",
         "p2_copies": _P2 + "SELECT keep_no, copies FROM kept",
+        "p4_clashes": "SELECT unnest(['person', 'email', 'phone', 'id_number', 'address']) AS pii_kind, 0::BIGINT AS shared, 0::BIGINT AS real",
         "p6_percentiles": _P6.format("config, stage"),
         "p6_days": _P6.format("config, stage, day"),
         "p8_found": _WORDS12,
