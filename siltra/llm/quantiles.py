@@ -236,11 +236,17 @@ def clean_spans(run: DataFrame) -> DataFrame:
 
 
 def daily_sketches(run: DataFrame, k: int = K) -> DataFrame:
-    """Sketches of (config, stage, day): what a daily job would keep."""
-    return partial_sketches(clean_spans(run), ["config", "stage", "day"], "ms", k)
+    """Sketches of (config, stage, day): what a daily job would keep. Days combine by dropping ``day``."""
+    groups = ["config", "stage", "day"]
+    return merge_sketches(partial_sketches(clean_spans(run), groups, "ms", k), groups, k)
+
+
+def day_percentiles(run: DataFrame, k: int = K) -> DataFrame:
+    """(config, stage, day, n, p50, p90, p95, p99)."""
+    return read_quantiles(daily_sketches(run, k), ["config", "stage", "day"], QS, k)
 
 
 def stage_percentiles(run: DataFrame, k: int = K) -> DataFrame:
-    """(config, stage, n, p50, p90, p95, p99) of the whole table, from its days' sketches combined."""
-    days = daily_sketches(run, k).drop("day")
-    return read_quantiles(merge_sketches(days, ["config", "stage"], k), ["config", "stage"], QS, k)
+    """(config, stage, n, p50, p90, p95, p99) of the whole table."""
+    groups = ["config", "stage"]
+    return read_quantiles(merge_sketches(partial_sketches(clean_spans(run), groups, "ms", k), groups, k), groups, QS, k)

@@ -90,8 +90,7 @@ def p6_percentiles(spark: SparkSession, sf: str) -> DataFrame:
 
 def p6_days(spark: SparkSession, sf: str) -> DataFrame:
     """The same percentiles for each day of ``ts``, from the sketches that combine to those of the whole."""
-    days = quantiles.daily_sketches(table(spark, sf, "run"))
-    return quantiles.read_quantiles(days, ["config", "stage", "day"], quantiles.QS)
+    return quantiles.day_percentiles(table(spark, sf, "run"))
 
 
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
@@ -122,7 +121,7 @@ def p9_flagged(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
-    return repetition.repetitive_documents(table(spark, sf, "documents"), exact=True).select("doc_id")
+    return repetition.share_at_least(table(spark, sf, "documents")).select("doc_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -175,7 +174,14 @@ WITH d AS (SELECT doc_id, lang, source, regexp_extract_all(lower(text), '[\\p{L}
 runs AS (SELECT doc_id, p, array_to_string(w[p:p + 7], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS p FROM d WHERE len(w) >= 8)),
 again AS (SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id, run ORDER BY p) > 1 AS rep FROM runs),
 covered AS (SELECT doc_id, count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(range(p, p + 8)) AS x FROM again WHERE rep) GROUP BY doc_id),
-shares AS (SELECT d.doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_repeated FROM d LEFT JOIN covered c ON d.doc_id = c.doc_id)
+shares AS (SELECT d.doc_id, lower(trim(lang)) AS lang, source, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_repeated FROM d LEFT JOIN covered c ON d.doc_id = c.doc_id)
+"""
+
+_FENCES = _REPEATS + """, m AS (SELECT doc_id, lang, source, n_repeated / n_words AS share FROM shares WHERE n_words > 0),
+by_group AS (SELECT lang, source, count(*)::BIGINT AS n, quantile_disc(share, 0.25) AS q1, quantile_disc(share, 0.75) AS q3 FROM m GROUP BY lang, source),
+by_lang AS (SELECT lang, quantile_disc(share, 0.25) AS q1, quantile_disc(share, 0.75) AS q3 FROM m GROUP BY lang),
+t AS (SELECT g.lang, g.source, g.n, CASE WHEN g.n >= 20 THEN g.q3 + 3.0::DOUBLE * (g.q3 - g.q1) ELSE l.q3 + 3.0::DOUBLE * (l.q3 - l.q1) END AS threshold
+      FROM by_group g JOIN by_lang l ON g.lang IS NOT DISTINCT FROM l.lang)
 """
 
 
@@ -190,5 +196,8 @@ def oracle_sql() -> dict[str, str]:
         "p6_days": _P6.format("config, stage, day"),
         "p8_found": _WORDS12,
         "p9_repetition": _REPEATS + "SELECT doc_id, n_words, n_repeated FROM shares",
+        "p9_thresholds": _FENCES + "SELECT lang, source, n, threshold FROM t",
+        "p9_flagged": _FENCES + """SELECT doc_id, share, greatest(0.1::DOUBLE, threshold) AS cutoff
+            FROM m JOIN t ON m.lang IS NOT DISTINCT FROM t.lang AND m.source IS NOT DISTINCT FROM t.source WHERE share >= greatest(0.1::DOUBLE, threshold)""",
         "p9_found": _REPEATS + "SELECT doc_id FROM shares WHERE n_words > 0 AND n_repeated >= 0.3 * n_words",
     }

@@ -13,9 +13,14 @@ from siltra.llm.common import materialize, words_of
 from siltra.llm.quantiles import merge_sketches, partial_sketches, read_quantiles
 
 RUN = 8
-#: Share from which a text counts as repetitive whatever its group's distribution is.
+#: Share of repeated words from which TESTDATA's ``p9_found`` counts a text, whatever its group.
 SHARE = 0.3
-QUANTILE = 0.95
+#: A text stands out of its language and source beyond the upper quartile by so many interquartile ranges, and from FLOOR on.
+FENCE, FLOOR = 3.0, 0.1
+#: A group of fewer texts has no distribution of its own and takes its language's.
+LEAST = 20
+#: Parts of a hot group in the join with its threshold.
+SALT = 16
 
 
 def repeated_words(words: list[str], run: int = RUN) -> int:
@@ -57,27 +62,38 @@ def repetition(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return rows.mapInArrow(_measure, "key long, lang string, source string, n_words long, n_repeated long, share double").withColumnRenamed("key", key)
 
 
-def adaptive_thresholds(measured: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """(lang, source, n, threshold): the ``quantile`` of the shares of each language and source, from mergeable sketches."""
-    groups = ["lang", "source"]
-    return read_quantiles(merge_sketches(partial_sketches(measured, groups, "share"), groups), groups, {"threshold": quantile})
+def adaptive_thresholds(measured: DataFrame, fence: float = FENCE, least: int = LEAST) -> DataFrame:
+    """(lang, source, n, threshold): the upper fence of the shares of each language and source, from mergeable sketches.
+
+    The fence is the third quartile and ``fence`` interquartile ranges. Groups of fewer than ``least`` texts take the fence of
+    their language, read off the same sketches merged by language. Null languages and sources are groups of their own.
+    """
+    groups, quartiles = ["lang", "source"], {"q1": 0.25, "q3": 0.75}
+    sketches = materialize(merge_sketches(partial_sketches(measured, groups, "share"), groups), "sketches")
+    cut = F.col("q3") + fence * (F.col("q3") - F.col("q1"))
+    own = read_quantiles(sketches, groups, quartiles).select(*groups, "n", cut.alias("own"))
+    wide = read_quantiles(merge_sketches(sketches.drop("source"), ["lang"]), ["lang"], quartiles).select(F.col("lang").alias("_l"), cut.alias("wide"))
+    return own.join(wide, F.col("lang").eqNullSafe(F.col("_l"))).select(*groups, "n", F.when(F.col("n") >= least, F.col("own")).otherwise(F.col("wide")).alias("threshold"))
 
 
-def flag_repetitive(measured: DataFrame, thresholds: DataFrame, most: float = SHARE, floor: float = 0.0) -> DataFrame:
-    """Rows whose share reaches their group's threshold, which is held between ``floor`` and ``most``: a text that
-    reaches ``most`` is flagged in any group. Null languages and sources are groups of their own.
+def flag_repetitive(measured: DataFrame, thresholds: DataFrame, floor: float = FLOOR) -> DataFrame:
+    """Rows whose share reaches their group's threshold, or ``floor`` where that is higher, with it as ``cutoff``.
 
-    The thresholds hold one row a language and source; Spark broadcasts them while they are small and else shuffles
-    both, a hot group being split by adaptive execution.
+    Each threshold is joined in SALT copies, so that a hot language and source is spread over as many tasks.
     """
-    t = thresholds.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), F.greatest(F.lit(floor), F.least(F.lit(most), "threshold")).alias("cutoff"))
-    hit = F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s"))
-    return measured.join(t, hit).where(F.col("share") >= F.col("cutoff")).drop("_l", "_s")
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_p")
+    t = thresholds.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), F.greatest(F.lit(floor), "threshold").alias("cutoff"), parts)
+    hit = F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_q") == F.col("_p"))
+    salted = measured.withColumn("_q", F.pmod(F.xxhash64(*[c for c in measured.columns if c not in ("lang", "source")]), F.lit(SALT)).cast("int"))
+    return salted.join(t, hit).where(F.col("share") >= F.col("cutoff")).drop("_l", "_s", "_p", "_q")
 
 
-def repetitive_documents(df: DataFrame, key: str = "doc_id", text: str = "text", most: float = SHARE, exact: bool = False) -> DataFrame:
-    """Texts flagged by the adaptive thresholds of their language and source; with ``exact`` only those whose share
-    reaches ``most`` itself. Texts without words are never flagged."""
+def repetitive_documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Texts whose share of repeated words stands out of their language and source. Texts without words are never flagged."""
     measured = materialize(repetition(df, key, text).where("n_words > 0"), "repetition")
-    flagged = flag_repetitive(measured, adaptive_thresholds(measured), most).where("share > 0")
-    return flagged.where(F.col("n_repeated") >= F.lit(most) * F.col("n_words")) if exact else flagged
+    return flag_repetitive(measured, adaptive_thresholds(measured))
+
+
+def share_at_least(df: DataFrame, key: str = "doc_id", text: str = "text", share: float = SHARE) -> DataFrame:
+    """Texts of which a fixed share of the words is repeated, counted in integers; texts without words are none of them."""
+    return repetition(df, key, text).where((F.col("n_words") > 0) & (F.col("n_repeated") >= F.lit(share) * F.col("n_words")))
