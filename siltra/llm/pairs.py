@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 DEFECTS = ("empty", "truncated", "refusal", "copy", "other_language")
 #: Functions a defect.
 N_VOTES = 4
-#: Cutoffs of the posterior, validated on the labelled fixture of the tests (``tests/llm/test_pairs.py``).
+#: Cutoffs of the posterior, one a defect; ``best_cutoff`` of the held-out pairs (``tests/llm/test_pairs.py``) lies at 0.5 but for
+#: other_language, whose held-out posteriors leave any cutoff between 0.02 and 0.86 as good.
 CUTOFFS = dict.fromkeys(DEFECTS, 0.5)
 
 # Stand-ins for a missing value, and function words by language.
@@ -70,11 +71,25 @@ _REFUSE_STRONG = re.compile(
     re.I,
 )
 #: A refusal has one of these words.
-_REFUSE_HINT = frozenset("""can't cannot not won't decline declined declining refuse rather prefer allow permit outside keep against stop
-no nicht keine puedo permitido prefiero niego debo peux puis refuse préfère veux souhaite unable sorry instructions""".split())
+_REFUSE_HINT = frozenset("""can't cannot not won't don't doesn't decline declined declining refuse rather prefer allow permit outside keep against stop
+no nicht keine kein puedo permitido prefiero niego debo peux puis refuse préfère veux souhaite unable sorry instructions
+lack without confidential classified restricted off ai n'ai""".split())
 _REFUSE_VERB = re.compile(r"\b(?:answer|help|assist|share|discuss|comment|comply|talk about|say|disclose|declin\w+|beantworten|helfen|auskunft|ayudar|responder|contestar|répondre|aider|open private|private)\b", re.I)
 _REFUSE_NOT = re.compile(r"\b(?:not|can't|cannot|won't|no|decline\w*|rather not|prefer not|against|unable|outside|nicht|keine|leider|siento|refuse|pas|myself|stop)\b", re.I)
-_ACCENT = re.compile(r"[¿¡ñßäöüàâçèêëîïôùûœãõéíóú]", re.I)
+#: What declines in any words: inability, permission, secrecy.
+_REFUSE_BROAD = re.compile(
+    r"\b(?:(?:un|not )able to (?:provide|give|tell|reveal|disclose|access|answer|help|share|assist)|(?:can(?:'t|not| not)|won't|will not|may not|must not) (?:provide|give|tell|reveal|disclose|access|answer|help|share|assist|be (?:shared|disclosed|discussed|given))|"
+    r"(?:do(?:es)?(?: not|n't)) have (?:any )?(?:access|permission|the right|authori\w+)|(?:lack|without) (?:the |any )?(?:permission|access|authori\w+|clearance)|(?:is|are|be) (?:strictly )?(?:confidential|classified|restricted|off limits)|"
+    r"not (?:permitted|allowed|authori[sz]ed|at liberty|in a position) to|as an ai|(?:nicht|keine?) (?:\w+ )?(?:erlaubt|befugt|berechtigt|berechtigung|zugriff)|no (?:estoy autorizad\w|tengo (?:permiso|acceso))|je n'ai pas (?:accès|le droit))\b",
+    re.I,
+)
+#: Letters and word parts that tell a language.
+_MARKS = {
+    "de": re.compile(r"[äöüß]|sch|(?:ung|keit|heit|lich)$"),
+    "es": re.compile(r"ñ|ción$|idad$|mente$|^ll|[áíóú]"),
+    "fr": re.compile(r"[çœêèûâ]|^(?:l|d|qu|n|s|c)['’]|eux$|oir$"),
+    "en": re.compile(r"^th|^wh|ing$|ght|ould$"),
+}
 _FIRST = re.compile(r"\b(?:i|i'm|i'd|me|my|myself|ich|mir|yo|me|puedo|siento|prefiero|je|nous|we|our)\b", re.I)
 
 
@@ -163,6 +178,12 @@ _DECLINES = re.compile(r"\b(?:help|assist|share[ds]?|discuss\w*|comment|comply|t
 _SENTENCE = re.compile(r"[.!?。！？؟]\s+(?=\S)")
 
 
+def _common() -> frozenset[str]:
+    from siltra.llm.tokenizing import common_words
+
+    return common_words()
+
+
 def votes(question: str | None, answer: str | None) -> list[int]:
     """N_VOTES votes for each of DEFECTS, in order."""
     q, a = _plain(question), _plain(answer)
@@ -173,8 +194,8 @@ def votes(question: str | None, answer: str | None) -> list[int]:
     stand_in = low in STAND_INS or low.strip(" .\"'") in STAND_INS
     unsure = -1 if stand_in else 0  # what looks at characters can't tell a stand-in from a value
     empty = [1 if not a else unsure, 1 if not alnum else unsure, 1 if stand_in or not a else -1 if not alnum else 0, 1 if not alnum or stand_in else 0]
-    if not alnum or stand_in:
-        return empty + [0] * (4 * N_VOTES)
+    if not alnum or stand_in:  # nothing is said: it has nothing of the question, and the other functions have nothing to judge
+        return empty + [-1] * (2 * N_VOTES) + [0] * N_VOTES + [-1] * N_VOTES
     # copy: nothing but the question's words, labels aside
     said, once = set(words), set(asked)
     n = len(asked)
@@ -191,12 +212,14 @@ def votes(question: str | None, answer: str | None) -> list[int]:
             1 if covered >= 0.95 and extra <= max(1, len(own) // 12) and times >= 0.9 and not _numbers(a) - _numbers(q) else -1,
             1 if (alike := _alike(_SAME_START.sub("", a), q)) >= 0.9 else 0 if alike < 0.8 else -1,
         ]
-    is_copy = sum(v == 1 for v in copy) >= 2
     # refusal
     outside = _FILE.sub(" ", _CITE.sub(" ", a))
     hint = not _REFUSE_HINT.isdisjoint(words)
-    strong = hint and bool(_REFUSE_STRONG.search(outside))
-    soft = hint and bool(_REFUSE_NOT.search(outside) and _REFUSE_VERB.search(outside) and _FIRST.search(outside))
+    asked_low = q.lower()
+    new = lambda m: bool(m) and m[0].lower() not in asked_low  # noqa: E731  what the question says itself declines nothing
+    strong = hint and new(_REFUSE_STRONG.search(outside))
+    soft = hint and bool(said - once) and bool(_REFUSE_NOT.search(outside) and _REFUSE_VERB.search(outside) and _FIRST.search(outside))
+    broad = hint and new(_REFUSE_BROAD.search(outside))
     valued = outside != a or bool(_numbers(a) - _numbers(q))
     note = bool(_NOTE.fullmatch(a))
     not_given = (
@@ -204,16 +227,13 @@ def votes(question: str | None, answer: str | None) -> list[int]:
         and not _DECLINES.search(a) and not _REFUSE_STRONG.match(outside.lstrip())
     )
     refusal = [
-        1 if strong else 0,
-        1 if soft and not valued else 0,
-        0 if valued else -1,
-        1 if strong and not valued else 0 if not (strong or soft) else -1,
+        1 if strong else -1 if broad else 0,
+        1 if soft and not valued else 0 if not broad else -1,
+        0 if valued else 1 if broad else -1,
+        1 if (strong or broad) and not valued else 0 if not (strong or soft) else -1,
     ]
-    if is_copy:
-        refusal = [0] * N_VOTES
-    elif not_given:  # one whole sentence that isn't in the first person: its wording tells nothing about refusals
+    if not_given:  # one whole sentence that isn't in the first person: its wording tells nothing about refusals
         refusal = [-1] * N_VOTES
-    is_refusal = refusal[0] == 1 or refusal[1] == 1
     # truncated
     tail = a.rstrip("*_ \t\n")
     body = _CITE.sub("", tail).rstrip()
@@ -236,20 +256,34 @@ def votes(question: str | None, answer: str | None) -> list[int]:
         1 if open_bracket and not ended else -1,
         0 if whole or cited else 1,
     ]
-    if is_copy or is_refusal:
-        truncated = [0] * N_VOTES
+    if words[-3:] == asked[-3:] and not hangs:  # it ends where the question ends: that tells nothing
+        truncated = [-1] * N_VOTES
     # other language: judged by the words that aren't the question's own
     asked_in = language(q) or "en"
-    hits = {}
-    if not (is_copy or is_refusal):
-        hits = spoken(" ".join(w for w in outside.split() if w.strip(".,;:?!()\"'“”").lower() not in once))
+    own = [w for w in outside.split() if w.strip(".,;:?!()\"'“”").lower() not in once]
+    hits = spoken(" ".join(own))
     rival = max((k for k in hits if k != asked_in), key=lambda k: hits[k], default=None)
     lead = hits[rival] - hits.get(asked_in, 0) if rival else 0
     foreign = rival is not None and rival not in _FW
-    differs = lead >= 2
-    accents = asked_in == "en" and differs and bool(_ACCENT.search(outside)) and not _ACCENT.search(q)
-    other = [1 if differs else 0, 1 if foreign and differs else -1 if differs else 0, 1 if accents else -1 if differs else 0, 1 if lead >= 3 else -1 if differs else 0]
-    if differs and not foreign and (_bare(a) if is_bare is None else is_bare):
+    low_words = [w for w in (w.strip(".,;:?!()\"'“”¿¡") for w in own) if w.islower()]
+    marks = {k: sum(bool(m.search(w)) for w in low_words) for k, m in _MARKS.items()}
+    mark = max((n for k, n in marks.items() if k != asked_in), default=0)
+    plain = [w for w in low_words if len(w) > 3 and w.isalpha()]
+    known = sum(w in _common() for w in plain) / len(plain) if len(plain) >= 3 and _common() else None
+    by_words = -1
+    if known is not None and asked_in == "en":
+        by_words = 1 if known < 0.4 else 0 if known > 0.7 else -1
+    elif known is not None:
+        by_words = 1 if known > 0.8 and len(plain) >= 4 else 0 if known < 0.5 and rival in (None, "en") else -1
+    if by_words < 0 and rival and asked_in in _FW and len(low_words) > 3 and not any(w in _FW[asked_in] for w in low_words):
+        by_words = 1  # not one word that the question's language can hardly do without
+    other = [
+        1 if lead >= 2 else 0 if lead <= 0 else -1,  # function words, or another script's letters
+        1 if foreign and lead >= 4 else -1 if hits else 0,  # another script
+        1 if mark >= 2 and not marks.get(asked_in) else 0 if not mark and (rival is None or rival in _MARKS and len(low_words) > 5) else -1,  # letters and word parts
+        by_words,  # words that a mostly English vocabulary has; words of the question's language at all
+    ]
+    if not foreign and (_bare(a) if is_bare is None else is_bare):  # values and names have no language
         other = [0] * N_VOTES
     return empty + truncated + refusal + copy + other
 
@@ -294,6 +328,22 @@ def fit_label_model(patterns: dict[tuple[int, ...], int], steps: int = 50, prior
     return dict(zip(keys, post.tolist()))
 
 
+def best_cutoff(posteriors: list[float], truth: list[bool]) -> float:
+    """The cutoff of highest F1 on labelled rows: the middle of the widest gap between posteriors that gives it."""
+    if not posteriors:
+        return 0.5
+    levels = sorted({0.0, *posteriors, 1.0})
+    if not any(truth):
+        return (max(posteriors) + 1) / 2
+
+    def f1(cut: float) -> float:
+        hit = sum(t and p > cut for p, t in zip(posteriors, truth))
+        return 2 * hit / max(1, sum(truth) + sum(p > cut for p in posteriors))
+
+    gaps = [(f1((a + b) / 2), b - a, (a + b) / 2) for a, b in zip(levels, levels[1:])]
+    return max(gaps)[2]
+
+
 def pairs_of(query_results: DataFrame, questions: DataFrame) -> DataFrame:
     """(record_set, row_id, q, a) of both tables; repeated rows stay, null ids are left out."""
     a = query_results.select(F.lit("query_results").alias("record_set"), F.col("result_id").alias("row_id"), F.col("question").alias("q"), F.col("answer").alias("a"))

@@ -45,6 +45,21 @@ def _load(folder: str, vocabulary: str):
     return tiktoken.Encoding(vocabulary, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), ~inside
 
 
+@lru_cache(maxsize=2)
+def common_words(folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> frozenset[str]:
+    """Plain words: those that a public vocabulary writes as one token. Empty where the file is missing."""
+    out = set()
+    try:
+        with open(os.path.join(folder, f"{vocabulary}.tiktoken"), "rb") as f:
+            for line in f:
+                token = base64.b64decode(line.split()[0])
+                if token[:1] == b" " and token[1:].isalpha() and token[1:].islower():
+                    out.add(token[1:].decode())
+    except FileNotFoundError:
+        return frozenset()
+    return frozenset(out)
+
+
 class ForcedEncoder:
     """Encoder of one vocabulary; made once in each Python worker."""
 

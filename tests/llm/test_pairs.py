@@ -20,6 +20,58 @@ LABELLED = [
 ]
 
 
+R = "How many rooms does the hotel in Brindle Street have?"
+S = "¿Cuántas habitaciones tiene el hotel de la calle Brindle?"
+G = "Wie viele Zimmer hat das Hotel in der Brindle Street?"
+#: Pairs in wordings that no function was written after, with every defect that they have.
+HELD_OUT = [
+    (R, "The hotel has 42 rooms. [guide.pdf p.7]", set()), (R, "42", set()), (R, "Forty-two rooms", set()), (R, "There are 42 of them, spread over three floors.", set()), (R, "42 (guide.pdf, p. 7)", set()),
+    (R, "Rooms: 42\nFloors: 3", set()), (R, "The guide gives no number of rooms.", set()), (R, "This cannot be found in the guide.", set()), (R, "It is unclear from the guide; the brochure says 42.", set()), (R, "Guests cannot cancel, but the hotel has 42 rooms.", set()),
+    (G, "Das Hotel hat 42 Zimmer.", set()), (G, "42 Zimmer", set()), (G, "Laut Prospekt sind es 42 Zimmer auf drei Etagen.", set()), (S, "El hotel tiene 42 habitaciones.", set()), (S, "42 habitaciones", set()), (S, "Son 42, según el folleto de la página 7.", set()),
+    (R, "Yes, and breakfast is included.", set()), (R, "About forty; see the brochure.", set()), (R, "The Grand Brindle Hotel", set()), (R, "We were unable to count them all, yet the guide says 42.", set()),
+    (R, "   ", {"empty"}), (R, "--", {"empty"}), (R, "none", {"empty"}), (R, "nan", {"empty"}), (R, "?", {"empty"}), (G, "k.A.", {"empty"}), (R, "{}", {"empty"}), (S, "null", {"empty"}),
+    (R, "The hotel has 42 rooms, of which twelve", {"truncated"}), (R, "According to the brochure on page 7, the hotel offers a total of", {"truncated"}), (R, "There are 42 rooms and the", {"truncated"}), (G, "Das Hotel hat laut Prospekt auf Seite 7 insgesamt 42 Zimm", {"truncated"}), (S, "El hotel tiene 42 habitaciones, que están en las", {"truncated"}), (R, "The brochure states (page 7 that the hotel", {"truncated"}),
+    (R, "As an AI language model, I do not have access to that.", {"refusal"}), (R, "We are unable to provide this.", {"refusal"}), (R, "Sorry, that information is confidential.", {"refusal"}), (R, "I lack permission to answer.", {"refusal"}), (R, "I won't answer that.", {"refusal"}), (R, "I would rather not say.", {"refusal"}),
+    (G, "Das darf ich leider nicht sagen.", {"refusal"}), (S, "Prefiero no responder a esa pregunta.", {"refusal"}), (R, "I'm not allowed to discuss hotels.", {"refusal"}), (R, "This is not something I can share.", {"refusal"}),
+    (R, "How many rooms does the hotel in Brindle Street have", {"copy"}), (R, "how many rooms does the hotel in brindle street have?", {"copy"}), (G, "Frage: " + "Wie viele Zimmer hat das Hotel in der Brindle Street?", {"copy"}), (S, "«¿Cuántas habitaciones tiene el hotel de la calle Brindle?»", {"copy"}),
+    (R, "Das Hotel hat nach dem Prospekt 42 Zimmer.", {"other_language"}), (R, "El folleto dice que hay 42 en tres plantas.", {"other_language"}), (G, "The brochure says that there are 42 of them.", {"other_language"}), (S, "There are 42 of them on three floors.", {"other_language"}), (R, "ホテルには42の部屋があります。", {"other_language"}), (R, "Il y en a 42 selon la brochure de la ville.", {"other_language"}),
+    (R, "Lo siento, no puedo responder a esa pregunta.", {"refusal", "other_language"}), (R, "Lo siento, pero no puedo ayudar con esa pregunta, porque los datos de la", {"refusal", "other_language", "truncated"}), (R, "I cannot answer that, because the guide of the", {"refusal", "truncated"}), (R, "Das Hotel hat laut dem Prospekt 42 Zimmer, von denen zwölf auf der", {"truncated", "other_language"}),
+]
+
+
+def flagged(fit, rows):
+    """Defects of each of ``rows`` by the model fitted on ``fit`` and the cutoffs, and the posteriors."""
+    out, posts = [set() for _ in rows], {}
+    for i, d in enumerate(pr.DEFECTS):
+        cut = lambda v: tuple(v[i * pr.N_VOTES:(i + 1) * pr.N_VOTES])  # noqa: B023, E731
+        counts: dict = {}
+        for q, a, _ in fit + rows:
+            p = cut(pr.votes(q, a))
+            counts[p] = counts.get(p, 0) + 1
+        post = pr.fit_label_model(counts)
+        own = [cut(pr.votes(q, a)) for q, a, _ in rows]
+        posts[d] = [post[p] if 1 in p else 0.0 for p in own]
+        for s, p in zip(out, posts[d]):
+            if p > pr.CUTOFFS[d]:
+                s.add(d)
+    return out, posts
+
+
+def test_held_out_pairs():
+    got, posts = flagged(LABELLED, HELD_OUT)
+    for d in pr.DEFECTS:
+        hit = sum(d in g and d in w for g, (_, _, w) in zip(got, HELD_OUT))
+        print(d, "recall", hit, sum(d in w for _, _, w in HELD_OUT), "precision", hit, sum(d in g for g in got), "best cutoff", pr.best_cutoff(posts[d], [d in w for _, _, w in HELD_OUT]))
+    print([(a, g, w) for g, (_, a, w) in zip(got, HELD_OUT) if g != w])
+    hits = sum(len(g & w) for g, (_, _, w) in zip(got, HELD_OUT))
+    assert hits / sum(len(w) for _, _, w in HELD_OUT) >= 0.8 and hits / sum(map(len, got)) >= 0.9
+
+
+def test_best_cutoff():
+    assert pr.best_cutoff([0.1, 0.4, 0.6, 0.9], [False, False, True, True]) == 0.5
+    assert pr.best_cutoff([0.2, 0.9], [False, False]) == 0.95 and pr.best_cutoff([], []) == 0.5
+
+
 def frames(spark, rows):
     a = spark.createDataFrame([(i, i % 5, q, a, "x") for i, (q, a, _) in enumerate(rows)], "result_id long, question_id long, question string, answer string, defect string")
     b = spark.createDataFrame([(i, q, a, 1) for i, (q, a, _) in enumerate(rows)], "question_id long, q string, expect string, pattern int")
