@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltra.llm.common import materialize, n_words
+from siltra.llm.common import materialize
 
 CAPACITY = 400
 DIMS, BITS, HASHED = 3, 10, 1 << 14
@@ -54,7 +54,7 @@ def hilbert(coords: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def _project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hilbert key of each text: word counts hashed to HASHED places, a fixed random projection to DIMS, quantised."""
+    """Number of words and Hilbert key of each text: word counts hashed to HASHED places, a fixed random projection to DIMS, quantised."""
     base = np.random.Generator(np.random.PCG64(20)).standard_normal((HASHED, DIMS))
     for b in batches:
         texts = b.column(b.num_columns - 1).to_pylist()
@@ -71,7 +71,7 @@ def _project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             points[some] = np.add.reduceat(vectors, starts[some], axis=0)
             points[some] /= np.sqrt(sizes[some])[:, None]
         grid = np.clip(((0.5 + np.arctan(points) / np.pi) * (1 << BITS)).astype(np.int64), 0, (1 << BITS) - 1)
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(hilbert(grid), pa.int64())], names=["key", "source", "page", "n", "curve"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sizes), pa.array(hilbert(grid), pa.int64())], names=["key", "source", "page", "n", "curve"])
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -156,7 +156,7 @@ def pack_containers(df: DataFrame, key: str = "chunk_no", text: str = "text", ca
     sources and pages form groups of their own. ``container_id`` names the first record and piece inside.
     """
     rows = df.select(
-        F.col(key).cast("long").alias("key"), F.col("source").cast("string").alias("source"), F.col("page").cast("int").alias("page"), n_words(text).alias("n"), F.col(text).alias("t")
+        F.col(key).cast("long").alias("key"), F.col("source").cast("string").alias("source"), F.col("page").cast("int").alias("page"), F.col(text).alias("t")
     ).mapInArrow(_project, "key long, source string, page int, n long, curve long")
     rows = materialize(rows, "curve")
     order = ["source", "page", "curve", "key"]
