@@ -7,7 +7,7 @@ from dataclasses import asdict, dataclass, replace
 
 @dataclass(frozen=True)
 class Config:
-    """Parameters by group; a result row is explained by its config alone."""
+    """Parameters by group. ``name`` labels every span and row that was made under them."""
 
     name: str
     # embedding
@@ -19,6 +19,7 @@ class Config:
     chunk_tokens: int = 400
     chunk_overlap: int = 80
     chunk_strategy: str = "sliding"
+    tokenizer: str = "words"
     # retrieval
     top_k: int = 5
     candidates: int = 20

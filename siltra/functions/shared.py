@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of our own only where it is unset and the session is local."""
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``. Only where that is unset and the
+    session is local, as in tests, a folder of this machine is set."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
@@ -21,11 +22,24 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def forget(spark: SparkSession) -> None:
+    """Delete what this session has written to the shared folder; call it when its results are no longer read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/siltra/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it again: it is computed once, and lost executors lose nothing."""
-    path = f"{shared_dir(df.sparkSession)}/siltra/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/siltra/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many parts as there are task slots, where it comes from fewer files: a table in one row group is else one task."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if len(df.inputFiles()) < slots else df
 
 
 def number_rows(df: DataFrame, order: list[str], name: str = "row_no", start: int = 1) -> DataFrame:

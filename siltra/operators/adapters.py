@@ -54,6 +54,23 @@ class OverlapScorer:
         return np.array([len(set((q or "").lower().split()) & set((t or "").lower().split())) / max(1, len(set((q or "").lower().split()))) for q, t in pairs])
 
 
+def cross_encoder(cfg: Config) -> Scorer:
+    """The configured reranker model, where its library is installed."""
+    try:
+        from sentence_transformers import CrossEncoder
+    except ImportError as e:
+        raise RuntimeError(f"reranker_model {cfg.reranker_model!r} needs the sentence_transformers library") from e
+    return CrossEncoder(cfg.reranker_model, device=cfg.reranker_device)
+
+
+#: Scorers by model name; any other name is a model for :func:`cross_encoder`.
+SCORERS: dict[str, Callable[[Config], Scorer]] = {"overlap": lambda cfg: OverlapScorer()}
+
+
+def scorer(cfg: Config) -> Scorer:
+    return SCORERS.get(cfg.reranker_model, cross_encoder)(cfg)
+
+
 def sentence_transformer(cfg: Config) -> Embedder:
     """The configured model, where its library is installed."""
     try:
@@ -124,27 +141,32 @@ def _post(url: str, body: dict):
     return urllib.request.urlopen(urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json"}), timeout=600)
 
 
-def _timed(pieces: Iterator[str]) -> dict:
-    """Text and timings of streamed pieces; the first that isn't empty ends the wait."""
-    began, first, parts = time.perf_counter(), None, []
-    for p in pieces:
-        if p:
+def _timed(pieces: Iterator[tuple[str, str]]) -> dict:
+    """Text and timings of streamed (text, reasoning) pieces; the first text ends the wait, reasoning is only counted."""
+    began, first, parts, thoughts = time.perf_counter(), None, [], 0
+    for said, thought in pieces:
+        thoughts += bool(thought)
+        if said:
             first = first or time.perf_counter()
-            parts.append(p)
+            parts.append(said)
     total = (time.perf_counter() - began) * 1000
     ttft = (first - began) * 1000 if first else None
     seconds = max(total - (ttft or 0), 1e-6) / 1000
-    return {"text": "".join(parts), "ttft_ms": round(ttft or total, 2), "total_ms": round(total, 2), "n_chunks_streamed": len(parts), "tok_per_s": round(len(parts) / seconds, 2)}
+    return {
+        "text": "".join(parts), "ttft_ms": round(ttft or total, 2), "total_ms": round(total, 2), "n_chunks_streamed": len(parts), "n_reasoning": thoughts,
+        "tok_per_s": round(len(parts) / seconds, 2),
+    }
 
 
 def ollama_generate(cfg: Config, messages: list[dict]) -> dict:
     """One answer of an Ollama server, from its stream of JSON lines."""
     body = {"model": cfg.gen_model, "messages": messages, "stream": True, "keep_alive": cfg.gen_keep_alive, "think": cfg.gen_think, "options": {"num_predict": cfg.max_tokens}}
 
-    def pieces() -> Iterator[str]:
+    def pieces() -> Iterator[tuple[str, str]]:
         with _post(f"{cfg.ollama_host}/api/chat", body) as r:
             for event in map(json.loads, filter(None, map(bytes.strip, r))):
-                yield (event.get("message") or {}).get("content") or ""
+                said = event.get("message") or {}
+                yield said.get("content") or "", said.get("thinking") or ""
                 if event.get("done"):
                     return
 
@@ -158,7 +180,7 @@ def llama_generate(cfg: Config, messages: list[dict]) -> dict:
     }
     own: dict = {}
 
-    def pieces() -> Iterator[str]:
+    def pieces() -> Iterator[tuple[str, str]]:
         with _post(f"{cfg.llama_host}/v1/chat/completions", body) as r:
             for line in r:
                 if not line.startswith(b"data: "):
@@ -168,7 +190,8 @@ def llama_generate(cfg: Config, messages: list[dict]) -> dict:
                 event = json.loads(said)
                 own.update(event.get("timings") or {})
                 for choice in (event.get("choices") or [])[:1]:
-                    yield (choice.get("delta") or {}).get("content") or ""
+                    delta = choice.get("delta") or {}
+                    yield delta.get("content") or "", delta.get("reasoning_content") or ""
 
     out = _timed(pieces())
     names = {"server_prompt_ms": "prompt_ms", "server_prompt_tok_per_s": "prompt_per_second", "server_predict_ms": "predicted_ms", "server_predict_tok_per_s": "predicted_per_second"}
@@ -180,7 +203,7 @@ def extractive_generate(cfg: Config, messages: list[dict]) -> dict:
     block = messages[-1]["content"].removeprefix("Context:\n").partition("\n\nQuestion: ")[0]
     head, _, body = block.partition("\n")
     text = f"{body.splitlines()[0] if body.strip() else 'The context does not say.'} {head}".strip()
-    return {"text": text, "ttft_ms": 0.0, "total_ms": 0.0, "n_chunks_streamed": len(text.split()), "tok_per_s": 0.0}
+    return {"text": text, "ttft_ms": 0.0, "total_ms": 0.0, "n_chunks_streamed": len(text.split()), "n_reasoning": 0, "tok_per_s": 0.0}
 
 
 GENERATORS: dict[str, Generator] = {"ollama": ollama_generate, "llamacpp": llama_generate, "extractive": extractive_generate}
@@ -192,7 +215,7 @@ def generator(name: str) -> Generator:
     return GENERATORS[name]
 
 
-GENERATED = "answer string, ttft_ms double, total_ms double, n_chunks_streamed int, tok_per_s double, server_prompt_ms double, server_prompt_tok_per_s double, server_predict_ms double, server_predict_tok_per_s double, error string"
+GENERATED = "answer string, ttft_ms double, total_ms double, n_chunks_streamed int, n_reasoning int, tok_per_s double, server_prompt_ms double, server_prompt_tok_per_s double, server_predict_ms double, server_predict_tok_per_s double, error string"
 
 
 def generate(df: DataFrame, cfg: Config, messages: str = "messages", partitions: int | None = None) -> DataFrame:
@@ -207,7 +230,7 @@ def generate(df: DataFrame, cfg: Config, messages: str = "messages", partitions:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = generator(cfg.gen_backend)
-        kinds = [pa.string(), pa.float64(), pa.float64(), pa.int32(), *[pa.float64()] * 5, pa.string()]
+        kinds = [pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.int32(), *[pa.float64()] * 5, pa.string()]
         for b in batches:
             out = []
             for m in b.column(b.schema.get_field_index(messages)).to_pylist():
@@ -221,3 +244,35 @@ def generate(df: DataFrame, cfg: Config, messages: str = "messages", partitions:
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), *cols], names=[*keep, *names])
 
     return rows.mapInArrow(run, f"{fields}, {GENERATED}")
+
+
+def burst(prompts: DataFrame, cfg: Config, level: int, turn: str = "turn", messages: str = "messages") -> DataFrame:
+    """(level, turn, ttft_ms, total_ms, n_content, n_reasoning, wall_s, error): the first ``level`` prompts sent at the same moment.
+
+    One task holds the ``level`` connections in as many threads, for tasks don't start together. A failed request has an
+    ``error`` and no figures. Fewer prompts make a smaller burst.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    def call(m: list[dict]) -> dict:
+        try:
+            return generator(cfg.gen_backend)(cfg, m)
+        except Exception as e:  # noqa: BLE001 - a failed call is a row of the result
+            return {"error": f"{type(e).__name__}: {e}"}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in b.to_pylist()]
+        began = time.perf_counter()
+        with ThreadPoolExecutor(max(1, len(rows))) as pool:
+            got = list(pool.map(call, [r["m"] for r in rows]))
+        wall = time.perf_counter() - began
+        cols = {
+            "level": pa.array([level] * len(rows), pa.int32()), "turn": pa.array([r["t"] for r in rows], pa.int64()),
+            **{k: pa.array([g.get(k) for g in got], pa.float64()) for k in ("ttft_ms", "total_ms")},
+            "n_content": pa.array([g.get("n_chunks_streamed") for g in got], pa.int32()), "n_reasoning": pa.array([g.get("n_reasoning") for g in got], pa.int32()),
+            "wall_s": pa.array([wall] * len(rows), pa.float64()), "error": pa.array([g.get("error") for g in got], pa.string()),
+        }
+        yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
+    first = prompts.select(F.col(turn).cast("long").alias("t"), F.col(messages).alias("m")).orderBy("t").limit(level).coalesce(1)
+    return first.mapInArrow(run, "level int, turn long, ttft_ms double, total_ms double, n_content int, n_reasoning int, wall_s double, error string")

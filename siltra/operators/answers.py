@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from siltra.operators.scoping import loose_sources, matched_sources
 
-# Words of an unsure answer, words that ask for synthesis, months.
-HEDGES = """might be;may be;possibly;not (entirely )?certain;unclear;i'm not sure;difficult to (determine|say);unable to (determine|confirm);appears to;seems to;
-approximately;roughly""".replace("\n", "").split(";")
-SYNTHESIS = r"across;combin\w*;both;compar\w*;agree\w*;differ\w*;every;all\b;summar\w*;chronolog\w*;how many".split(";")
+# The wording of an unsure answer, the wording that asks for synthesis, and the months.
+HEDGE = (
+    r"(?iU)\b(might be|may be|possibly|not (entirely )?certain|unclear|i'm not sure|difficult to (determine|say)|unable to (determine|confirm)|"
+    r"appears to|seems to|approximately|roughly)\b"
+)
+DEEP = r"(?iU)\b(across|combin\w*|both|compar\w*|agree\w*|differ\w*|every|all\b|summar\w*|chronolog\w*|how many)"
 MONTHS = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()
 
-HEDGE = rf"(?iU)\b({'|'.join(HEDGES)})\b"
-DEEP = rf"(?iU)\b({'|'.join(SYNTHESIS)})"
 NUMBER = r"(?U)\b\d{1,4}\b"
 CITATION = r"\[[^\]]*\]"
 DAY_DATE = rf"(?iUd)\bDay\s*(\d+)\b.{{0,40}}?\b(\d{{1,2}})\s*({'|'.join(MONTHS)})\w*\b"

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltra.functions.shared import materialize
+
 # The stages of each waterfall in order; the last of each list belongs to the full form only.
 INGEST = ["embed_model_load", "parse", "chunk", "dedup", "embed_chunks", "index_build"]
 QUERY = ["embed_query", "retrieve", "prompt_build", "generate"]
@@ -16,26 +18,39 @@ SERVER = {"prefill_ms": "server_prompt_ms", "prefill_tok_per_s": "server_prompt_
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float]) -> DataFrame:
-    """(keys, n, one column a quantile): exact quantiles with linear interpolation, nulls and NaN left out.
+    """(keys, n, one column a quantile): exact quantiles with linear interpolation, nulls and NaN left out; null keys are
+    a group.
 
-    Values are counted first, with a partial aggregation; ranks come from a running sum over the distinct values of a
-    key, which streams and spills. Unlike a collected percentile no task holds a key's values in memory.
+    Values are counted first, with a partial aggregation, then laid out in ranges of (keys, value). Ranks are running
+    sums within a range plus what the ranges before it hold of the key (one row a key and range), so no task has to take
+    all values of a hot key.
     """
-    ok = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    counts = ok.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("_hi", F.sum("_c").over(w)).withColumn("_lo", F.col("_hi") - F.col("_c"))
-    sizes = ok.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    same = reduce(lambda a, b: a & b, [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys])
-    both = ranked.alias("r").join(sizes.alias("s"), same).select(*[F.col(f"r.{k}") for k in keys], "n", "_v", "_lo", "_hi")
+    group = F.struct(*keys).alias("_k")
+    ok = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(group, F.col(value).cast("double").alias("_v"))
+    counts = ok.groupBy("_k", "_v").agg(F.count(F.lit(1)).alias("_c")).repartitionByRange("_k", "_v")
+    laid = materialize(counts.withColumn("_p", F.spark_partition_id()), "counted")
+    held = laid.groupBy("_k", "_p").agg(F.sum("_c").alias("_s"))
+    every = Window.partitionBy("_k")
+    held = held.select("_k", "_p", (F.sum("_s").over(every.orderBy("_p")) - F.col("_s")).alias("_base"), F.sum("_s").over(every).alias("n"))
+    inside = Window.partitionBy("_k", "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = laid.withColumn("_upto", F.sum("_c").over(inside)).join(held, ["_k", "_p"])
+    lo, hi = F.col("_base") + F.col("_upto") - F.col("_c"), F.col("_base") + F.col("_upto")
     out = []
     for name, q in qs.items():
         at = F.lit(q) * (F.col("n") - 1)
         low, high = F.floor(at), F.ceil(at)
-        pick = lambda r: F.max(F.when((F.col("_lo") <= r) & (r < F.col("_hi")), F.col("_v")))
+        pick = lambda r: F.max(F.when((lo <= r) & (r < hi), F.col("_v")))
         a, b = pick(low), pick(high)
         out.append((a + (b - a) * F.max(at - low)).alias(name))
-    return both.groupBy(*keys).agg(F.max("n").alias("n"), *out)
+    return ranked.groupBy("_k").agg(F.max("n").alias("n"), *out).select("_k.*", "n", *qs)
+
+
+def quantiles_of_columns(df: DataFrame, keys: list[str], values: dict[str, str], q: float) -> DataFrame:
+    """(keys, one column a value): the same quantile of several columns in one pass; names map to columns. A key comes if
+    any of its columns has a value."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(name).alias("_m"), F.col(c).cast("double").alias("_x")) for name, c in values.items()])).alias("_p")
+    long = df.select(*keys, pairs).select(*keys, "_p._m", "_p._x")
+    return exact_quantiles(long, [*keys, "_m"], "_x", {"_q": q}).groupBy(*keys).pivot("_m", list(values)).agg(F.max("_q"))
 
 
 def errors_by_stage(spans: DataFrame, order: list[str]) -> DataFrame:
@@ -79,11 +94,12 @@ def query_waterfall(spans: DataFrame, stages: list[str] = QUERY, exclude_warmup:
 def perceived_latency(spans: DataFrame) -> DataFrame:
     """(config, ttft_p50, ttft_p95, tok_per_s, n) of the answers; n counts all of them, measured or not."""
     answers = succeeded(spans).where("stage = 'answer'")
+    long = answers.select("config", F.explode(F.array(*[F.struct(F.lit(c).alias("m"), F.col(c).cast("double").alias("x")) for c in ("ttft_ms", "tok_per_s")])).alias("p")).select("config", "p.*")
+    both = exact_quantiles(long, ["config", "m"], "x", {"p50": 0.5, "p95": 0.95})
+    cell = lambda m, q, name: F.max(F.when(F.col("m") == m, F.col(q))).alias(name)
+    got = both.groupBy(F.col("config").alias("_c")).agg(cell("ttft_ms", "p50", "ttft_p50"), cell("ttft_ms", "p95", "ttft_p95"), cell("tok_per_s", "p50", "tok_per_s"))
     n = answers.groupBy("config").agg(F.count(F.lit(1)).alias("n"))
-    ttft = exact_quantiles(answers, ["config"], "ttft_ms", {"ttft_p50": 0.5, "ttft_p95": 0.95}).drop("n").withColumnRenamed("config", "_a")
-    rate = exact_quantiles(answers, ["config"], "tok_per_s", {"tok_per_s": 0.5}).drop("n").withColumnRenamed("config", "_b")
-    j = n.join(ttft, F.col("config").eqNullSafe(F.col("_a")), "left").join(rate, F.col("config").eqNullSafe(F.col("_b")), "left")
-    return j.select("config", "ttft_p50", "ttft_p95", "tok_per_s", "n")
+    return n.join(got, F.col("config").eqNullSafe(F.col("_c")), "left").select("config", "ttft_p50", "ttft_p95", "tok_per_s", "n")
 
 
 def embed_throughput(spans: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -100,8 +116,7 @@ def server_split(spans: DataFrame) -> DataFrame | None:
     if not set(SERVER.values()) <= set(spans.columns):
         return None
     gen = succeeded(spans).where("stage = 'generate' and server_prompt_ms is not null")
-    parts = [exact_quantiles(gen, ["config"], c, {name: 0.5}).drop("n") for name, c in SERVER.items()]
-    return reduce(lambda a, b: a.join(b, "config", "full_outer"), parts)
+    return quantiles_of_columns(gen, ["config"], SERVER, 0.5)
 
 
 def load_levels(requests: DataFrame, level: str = "level") -> DataFrame:
@@ -109,10 +124,10 @@ def load_levels(requests: DataFrame, level: str = "level") -> DataFrame:
 
     A request has ttft_ms, total_ms, n_content, n_reasoning and wall_s of its level.
     """
-    base = requests.groupBy(level).agg(F.max("ttft_ms").alias("ttft_max"), F.max("wall_s").alias("wall_s"), F.sum(F.col("n_content") + F.col("n_reasoning")).alias("_t"))
-    ttft = exact_quantiles(requests, [level], "ttft_ms", {"ttft_p50": 0.5}).drop("n")
-    think = exact_quantiles(requests, [level], "n_reasoning", {"reasoning_tok_median": 0.5}).drop("n")
-    return base.join(ttft, level).join(think, level).select(level, "ttft_p50", "ttft_max", "wall_s", (F.col("_t") / F.col("wall_s")).alias("aggregate_tok_s"), "reasoning_tok_median")
+    base = requests.groupBy(F.col(level).alias("_l")).agg(F.max("ttft_ms").alias("ttft_max"), F.max("wall_s").alias("wall_s"), F.sum(F.col("n_content") + F.col("n_reasoning")).alias("_t"))
+    mid = quantiles_of_columns(requests, [level], {"ttft_p50": "ttft_ms", "reasoning_tok_median": "n_reasoning"}, 0.5)
+    j = base.join(mid, F.col("_l").eqNullSafe(F.col(level)), "left")
+    return j.select(F.col("_l").alias(level), "ttft_p50", "ttft_max", "wall_s", (F.col("_t") / F.col("wall_s")).alias("aggregate_tok_s"), "reasoning_tok_median")
 
 
 def rounded(df: DataFrame, decimals: int) -> DataFrame:

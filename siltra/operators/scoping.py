@@ -58,24 +58,33 @@ def token_mentions(questions: DataFrame, tokens: DataFrame, query: str = "query_
     return asked.join(keyed, "_run").withColumn("_lit", quoted("token")).where(hit).select(query, source).distinct()
 
 
-def exact_mentions(questions: DataFrame, sources: DataFrame, query: str = "query_id", question: str = "question", source: str = "source", span: int = 6) -> DataFrame:
+def exact_mentions(questions: DataFrame, sources: DataFrame, query: str = "query_id", question: str = "question", source: str = "source") -> DataFrame:
     """(query, source) where the whole file name stands in the question, without regard to case.
 
-    Both sides are keyed by up to ``span`` characters before and three after the name's last dot (names without a dot:
-    by their first characters), an equi-join with few chance partners; containment is then checked.
+    The shapes of the names (characters before and after the last dot; -1 where there is none) are collected; file
+    names are short, so there are few. A question is cut into all stretches of these shapes, around its dots for names
+    with a dot and anywhere for others, and the stretches meet the names by equality: no chance partners, and no key that
+    many names share.
     """
     names = sources.where(F.col(source).isNotNull() & (F.col(source) != "")).select(source).distinct().withColumn("_s", F.lower(source))
-    ext = F.substring_index("_s", ".", -1)
-    stem = F.expr("left(_s, length(_s) - length(substring_index(_s, '.', -1)) - 1)")
-    dotted = F.concat(F.right(stem, F.lit(span)), F.lit("."), F.left(ext, F.lit(3)))
-    names = names.withColumn("_key", F.when(F.col("_s").contains("."), dotted).otherwise(F.concat(F.lit("\u0001"), F.left("_s", F.lit(4)))))
+    tail = F.length(F.substring_index("_s", ".", -1))
+    shapes = names.select((F.length("_s") - tail - 1).alias("a"), tail.alias("z")).distinct().collect()
     asked = questions.where(F.col(question).isNotNull()).select(query, F.lower(question).alias("_q"))
-    # around each dot of the question: every length before it and after it that a key can have
-    at = F.filter(F.sequence(F.lit(1), F.greatest(F.length("_q"), F.lit(1))), lambda i: F.substring(F.col("_q"), i, F.lit(1)) == ".")
-    around = lambda i: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(span)), lambda a: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda z: F.when(i > a, F.substring(F.col("_q"), i - a, a + z + 1)))))
-    plain = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_q"), F.lit(1))), lambda i: F.transform(F.sequence(F.lit(1), F.lit(4)), lambda z: F.concat(F.lit("\u0001"), F.substring(F.col("_q"), i, z)))))
-    keys = asked.select(query, "_q", F.explode(F.array_distinct(F.concat(F.flatten(F.transform(at, around)), plain))).alias("_key"))
-    return keys.join(names, "_key").where(F.col("_q").contains(F.col("_s"))).select(query, source).distinct()
+    size = F.length("_q")
+    whole = sorted({r.z for r in shapes if r.a < 0})
+    dotted = sorted({(r.a, r.z) for r in shapes if r.a >= 0})
+    places = F.sequence(F.lit(1), F.greatest(size, F.lit(1)))
+    cut = lambda at, n: F.when((at >= 1) & (at + n - 1 <= size), F.substring(F.col("_q"), at, n))
+    parts = []
+    if dotted:
+        shape = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(z).alias("z")) for a, z in dotted])
+        dots = F.filter(places, lambda i: F.substring(F.col("_q"), i, F.lit(1)) == ".")
+        parts.append(F.flatten(F.transform(dots, lambda i: F.transform(shape, lambda s: cut(i - s["a"], s["a"] + s["z"] + 1)))))
+    if whole:
+        parts.append(F.flatten(F.transform(places, lambda i: F.transform(F.array(*map(F.lit, whole)), lambda n: cut(i, n)))))
+    keys = F.concat(*parts) if parts else F.array().cast("array<string>")
+    found = asked.select(query, F.explode(F.array_distinct(keys)).alias("_s")).where("_s is not null")
+    return found.join(names, "_s").select(query, source).distinct()
 
 
 def matched_sources(questions: DataFrame, sources: DataFrame, query: str = "query_id", question: str = "question", source: str = "source") -> DataFrame:

@@ -86,7 +86,7 @@ def chunk_numbered(spark, sf):
 @query(
     _DEDUP
     + """ SELECT (SELECT count(*) FROM documents) AS n_pages, (SELECT count(*) FROM documents WHERE coalesce(length(text), 0) < 40) AS n_suspect_scanned,
-    (SELECT count(*) FROM chunks) AS n_chunks, (SELECT count(*) FROM chunks) - count(*) AS n_dropped, sum(n_tokens)::BIGINT AS n_tokens FROM firsts"""
+    (SELECT count(*) FROM chunks) AS n_chunks, (SELECT count(*) FROM chunks) - count(*) AS n_dropped, sum(n_tokens)::BIGINT AS n_tokens, count(*) AS n_vectors FROM firsts"""
 )
 def ingest_counters(spark, sf):
     slid = _slid(spark, sf)
@@ -501,8 +501,9 @@ def cache_lookup(spark, sf):
 
 
 def _requests(spark, sf):
-    r = table(spark, sf, "query_results").where("result_id is not null").groupBy("result_id").agg(F.min_by(F.struct("question", "lane", "config", "asked_at", "answer"), "received_at").alias("r")).select("result_id", "r.*")
-    rows = r.select(F.col("result_id").alias("request_id"), "config", "asked_at", F.when(F.col("lane") == "deep", "deep").otherwise("fast").alias("lane"), (F.col("result_id") % 10 == 0).alias("forced"), answers.hedges(F.col("answer")).alias("low_confidence"), "question")
+    r = table(spark, sf, "query_results").where("result_id is not null").groupBy("result_id").agg(F.min_by(F.struct("question", "lane", "config", "asked_at", "answer", "ttft_ms"), "received_at").alias("r")).select("result_id", "r.*")
+    rows = r.select(F.col("result_id").alias("request_id"), "config", "asked_at", F.when(F.col("lane") == "deep", "deep").otherwise("fast").alias("lane"), (F.col("result_id") % 10 == 0).alias("forced"), answers.hedges(F.col("answer")).alias("low_confidence"), "question",
+        (F.unix_micros(F.col("asked_at").cast("timestamp")) / 1e6).alias("at"), (F.coalesce("ttft_ms", F.lit(0.0)) / 1000).alias("elapsed_s"), F.lit(22.0).alias("check_s"))
     return adapters.embed(rows, adapters.HashEmbedder, text="question")
 
 

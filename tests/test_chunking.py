@@ -98,6 +98,6 @@ def test_counters_and_flags(spark):
     df = pages(spark, [("a", 1, "short"), ("a", 2, None), ("b", 1, "w " * 500), ("c", 1, "w " * 500)])
     slid = ch.sliding_chunks(df)
     r = ch.ingest_counters(df, slid, ch.dedup_first(slid, ["source", "page", "window_no"])).first()
-    assert tuple(r) == (4, 2, 5, 2, 1 + 400 + 180)
+    assert tuple(r) == (4, 2, 5, 2, 1 + 400 + 180, 3)
     none = ch.sliding_chunks(df.where("false"))
     assert tuple(ch.ingest_counters(df.where("false"), none, none).first()) == (0, 0, 0, 0, 0)

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from siltra import config
 from siltra.operators import adapters as ad
+from siltra.operators import report
 from siltra.plans import engine as en
 from siltra.sources import records
 from siltra.streaming import streams
 
 ROOT = Path(__file__).resolve().parents[1]
-CFG = replace(config.CONTROL, name="test", gen_backend="extractive", chunk_tokens=40, chunk_overlap=8, metadata_filter=True, hybrid=True, reranker=True)
+CFG = replace(config.CONTROL, name="test", gen_backend="extractive", chunk_tokens=40, chunk_overlap=8, metadata_filter=True, hybrid=True, reranker=True, reranker_model="overlap")
 
 
 @pytest.fixture
@@ -67,12 +68,95 @@ def test_service_batch(spark, folder):
     assert [t.query_id for t in turns] == [0, 1, 2, 0, 1, 2, 0]
 
 
-def test_matrix_is_logged(spark, folder):
-    cfgs = [replace(CFG, name=n, hybrid=False, reranker=False) for n in ("one",)]
-    en.run_matrix(spark, cfgs, str(folder / "corpus"), questions(spark), str(folder / "m"), str(folder / "log"), ad.HashEmbedder)
+def test_matrix_is_logged_and_reported(spark, folder):
+    cfgs = [replace(CFG, name="one"), replace(CFG, name="two", hybrid=False, reranker=False, chunk_strategy="structured")]
+    q = questions(spark).withColumn("expect", F.lit("400"))
+    en.run_matrix(spark, cfgs, str(folder / "corpus"), q, str(folder / "m"), str(folder / "log"), ad.HashEmbedder)
     spans = records.read_spans(spark, str(folder / "log"))
     by = {(r.config, r.stage): r["count"] for r in spans.groupBy("config", "stage").count().collect()}
-    assert all(by[c, s] == n for c in ("one",) for s, n in (("chunk", 1), ("embed_chunks", 1), ("generate", 1), ("answer", 3), ("run_end", 1)))
+    once = ["run_start", "embed_model_load", "parse", "chunk", "dedup", "embed_chunks", "embed_throughput", "index_build", "run_end"]
+    assert all(by[c, s] == 1 for c in ("one", "two") for s in once) and by["one", "reranker_model_load"] == 1 and ("two", "reranker_model_load") not in by
+    # one warm-up question and three measured ones
+    assert all(by[c, s] == n for c in ("one", "two") for s, n in (("phase", 2), ("embed_query", 2), ("retrieve", 2), ("prompt_build", 2), ("generate", 4), ("answer", 3)))
+    row = lambda c, s: spans.where((F.col("config") == c) & (F.col("stage") == s)).first()
+    assert row("one", "parse").n_pages == 4 and row("two", "parse").n_units == 4 and row("one", "dedup").n_dropped > 0 and row("one", "embed_model_load").dim == 64
+    assert row("one", "answer").expect == "400" and row("one", "answer").sources and row("one", "rerank").n_reranked > 0
+    tables = report.report(spans, full=True)
+    assert set(tables) == {"errors", "ingest", "query", "perceived", "throughput", "server"}
+    for name, stages in (("ingest", report.INGEST), ("query", [s for s in report.QUERY if s != "generate"])):
+        for r in tables[name].collect():
+            assert all(r[s] > 0 for s in stages), (name, r)
+    assert tables["throughput"].count() == 2 and {r.n for r in tables["perceived"].collect()} == {3}
+
+
+def test_reranker_of_the_config(spark, folder):
+    e = en.Engine(spark, replace(CFG, reranker_model="no such model"), str(folder / "r"), make_embedder=ad.HashEmbedder)
+    with pytest.raises(Exception, match="sentence_transformers"):
+        e.ingest(str(folder / "corpus"))
+
+    class Shortest:
+        def predict(self, pairs):
+            return [-len(t) for _, t in pairs]
+
+    e = en.Engine(spark, CFG, str(folder / "r"), make_embedder=ad.HashEmbedder, make_scorer=Shortest)
+    e.ingest(str(folder / "corpus"))
+    best = {r.query_id: r.chunk_no for r in e.retrieve(questions(spark).where("query_id = 2")).where("rank = 1").collect()}
+    sizes = {r.chunk_no: len(r.text) for r in e.chunks.collect()}
+    assert sizes[best[2]] == min(sizes.values())
+
+
+def test_service_keeps_cache_and_jobs(spark, folder):
+    cfg = replace(CFG, hybrid=False, reranker=False)
+    s = en.Service(en.Engine(spark, cfg, str(folder / "v"), make_embedder=ad.HashEmbedder), replace(cfg, name="deep"))
+    s.ingest(str(folder / "corpus"))
+    q = questions(spark).withColumn("force_lane", F.when(F.col("query_id") == 1, "fast"))
+    first = {r.query_id: r for r in s.ask(q).collect()}
+    assert first[0].lane == "fast" and first[0].job_id is None and first[1].low_confidence and first[1].job_id and first[2].lane == "deep" and first[2].answer is None
+    assert len(s.cache) == 1  # the confident answer alone
+    again = {r.query_id: r for r in s.ask(questions(spark).where("query_id <> 2")).collect()}
+    assert again[0].lane == "cache" and again[0].answer == first[0].answer and again[1].lane == "deep"  # the doubtful one isn't stored yet
+    assert {r.status for r in s.jobs.latest().collect()} == {"running"}
+    done = s.work().collect()
+    assert {r.status for r in done} == {"done"} and {r.trigger is None for r in done} == {True, False} and all(len(r.job_id) == 12 and r.answer for r in done)
+    assert {r.lane for r in s.ask(questions(spark)).collect()} == {"cache"} and s.health()["cache_size"] == 4
+    s.cache.clear()
+    assert len(s.cache) == 0
+    s.engine.cfg = replace(cfg, gen_backend="none")
+    failed = en.Service(s.engine, replace(cfg, gen_backend="extractive", chunk_tokens=30))
+    failed.ingest(str(folder / "corpus"))
+    assert len(failed.cache) == 0
+
+
+def test_jobs_end_in_error(spark, folder):
+    cfg = replace(CFG, hybrid=False, reranker=False)
+    s = en.Service(en.Engine(spark, cfg, str(folder / "w"), make_embedder=ad.HashEmbedder), replace(cfg, gen_backend="llamacpp", llama_host="http://127.0.0.1:9"))
+    s.ingest(str(folder / "corpus"))
+    s.ask(questions(spark).where("query_id = 2")).collect()
+    (job,) = s.work().collect()
+    assert job.status == "error" and "URLError" in job.error and len(s.cache) == 0
+
+
+def test_chunks_of_a_byte_level_vocabulary(spark, folder):
+    pytest.importorskip("tiktoken")
+    from siltra.functions import tokens
+
+    if not Path(tokens.FOLDER, "byte_bpe_50k.tiktoken").exists():
+        pytest.skip("no vocabulary files")
+    own = tokens.tokenizer("byte_bpe_50k")()
+    for strategy in ("sliding", "structured"):
+        e = en.Engine(spark, replace(CFG, name=strategy, tokenizer="byte_bpe_50k", chunk_strategy=strategy, hybrid=False, reranker=False), str(folder / strategy), make_embedder=ad.HashEmbedder)
+        e.ingest(str(folder / "corpus"))
+        rows = e.chunks.collect()
+        assert max(r.n_tokens for r in rows) == 40 and all(abs(len(own.encode(r.text)) - r.n_tokens) <= 1 for r in rows)
+    text = "The rent of the camp is 400 EUR. " * 8
+    ids = own.encode(text)
+    pages = spark.createDataFrame([("a", 1, text), ("b", 1, None), ("c", 1, "")], "source string, page int, text string")
+    from siltra.operators.chunking import sliding_chunks
+
+    got = [r.text for r in sliding_chunks(pages, 40, 8, make=tokens.tokenizer("byte_bpe_50k")).orderBy("window_no").collect()]
+    assert got == [own.decode(ids[i:i + 40]) for i in range(0, len(ids) - 8, 32)]
+    with pytest.raises(ValueError):
+        tokens.tokenizer("no such file")
 
 
 def test_question_stream(spark, tmp_path):

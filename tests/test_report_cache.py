@@ -1,6 +1,9 @@
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from siltra import config
 from siltra.operators import cache as ca
@@ -76,6 +79,56 @@ def test_replay_follows_the_order(spark):
     assert got == {1: ("fast", None, True), 2: ("cache", 1, False), 3: ("deep", None, True), 4: ("cache", 1, False), 5: ("deep", None, True), 6: ("fast", None, True), 7: ("fast", None, False)}
 
 
+def test_replay_waits_for_answers(spark):
+    """Against a plain fold over all requests of a key: an answer serves from the moment it is ready."""
+    rng = random.Random(2)
+    rows = []
+    for i in range(120):
+        v = rng.choice([[1.0, 0.0], [0.0, 1.0], [0.8, 0.6], None])
+        rows.append((rng.choice("kj"), i, float(i), v, rng.choice(["fast", "deep"]), rng.random() < 0.1, rng.random() < 0.3, rng.choice([0.5, 3.0, None]), 20.0))
+    df = spark.createDataFrame(rows, "config string, request_id long, at double, embedding array<double>, lane string, forced boolean, low_confidence boolean, elapsed_s double, check_s double")
+    want, stored = {}, {"k": [], "j": []}
+    for key, i, at, v, lane, forced, low, took, check in rows:
+        known = [(ready, r) for ready, r, w in sorted(stored[key]) if ready <= at and v is not None and round(sum(a * b for a, b in zip(v, w)), 6) >= 0.93]
+        exact = [(ready, r) for ready, r, w in sorted(stored[key]) if ready <= at and v is not None and w == v]
+        assert not known or exact[0] == known[0]
+        hit = None if forced or not known else known[0][1]
+        want[i] = ("cache" if hit is not None else lane, hit)
+        if hit is None and v is not None:
+            stored[key].append((at + (took or 0.0) + (check if lane == "fast" and low else 0.0), i, v))
+    got = {r.request_id: (r.lane, r.hit_of) for r in ca.cache_replay(df, ["config"], ["at", "request_id"]).collect()}
+    assert got == want and sum(h is not None for _, h in want.values()) > 20
+
+
+def test_answer_cache(spark, tmp_path):
+    store = ca.IndexStore(spark, str(tmp_path))
+    store.publish({"chunks": spark.range(1)})
+    c = ca.AnswerCache(spark, store)
+    assert len(c) == 0
+    new = spark.createDataFrame([("b", [0.0, 1.0], "2", ["x p.1"], "fast", 2), ("a", [1.0, 0.0], "1", None, "deep", 1)], "question string, embedding array<float>, answer string, sources array<string>, lane string, at int")
+    c.put(new, ["at"])
+    assert [(r.seq, r.question) for r in c.entries().orderBy("seq").collect()] == [(1, "a"), (2, "b")]
+    c.clear()
+    assert len(c) == 0
+    c.put(new, ["at"])
+    assert [r.seq for r in c.entries().orderBy("seq").collect()] == [3, 4]
+    store.publish({"chunks": spark.range(2)})  # another version of the index begins with no answers
+    assert len(c) == 0
+
+
+def test_quantiles_of_a_hot_key_and_null_keys(spark):
+    rng = random.Random(3)
+    rows = [(None if i % 3 == 0 else "hot" if i % 3 == 1 else f"c{i % 7}", float(rng.randrange(500)) if i % 11 else None, rng.random(), "generate", None) for i in range(6000)]
+    df = spark.createDataFrame(rows, "config string, v double, w double, stage string, error string")
+    got = {r.config: r for r in rp.exact_quantiles(df, ["config"], "v", {"a": 0.5, "b": 0.95}).collect()}
+    for key in {r[0] for r in rows}:
+        mine = np.array([r[1] for r in rows if r[0] == key and r[1] is not None])
+        assert got[key].n == len(mine) and np.isclose(got[key].a, np.quantile(mine, 0.5)) and np.isclose(got[key].b, np.quantile(mine, 0.95))
+    spans = df.select("config", "stage", "error", *[F.col("v").alias(c) for c in rp.SERVER.values()])
+    split = {r.config: r.prefill_ms for r in rp.server_split(spans).collect()}
+    assert split.keys() == got.keys() and all(split[k] == got[k].a for k in got)  # a null config is one row
+
+
 def test_jobs_and_versions(spark, tmp_path):
     job = ca.new_job("q", "auto-escalated: x")
     assert len(job["job_id"]) == 12 and job["status"] == "running"
@@ -88,6 +141,6 @@ def test_jobs_and_versions(spark, tmp_path):
 
 
 def test_configs():
-    assert len(config.CONTROL.as_dict()) == 22 and len(config.EMBED_MATRIX) == 5 and len(config.GENERATION_MATRIX) == 12
+    assert len(config.CONTROL.as_dict()) == 23 and len(config.EMBED_MATRIX) == 5 and len(config.GENERATION_MATRIX) == 12
     assert all(c.gen_keep_alive == "-1s" for c in config.EMBED_MATRIX[3:]) and len(config.ALL) == 19
     assert config.ALL["llamacpp-8b-filtered"].llama_host.endswith("8081") and config.DEEP.gen_think and config.FAST.metadata_filter

@@ -73,21 +73,29 @@ def test_eval_set_and_spans(spark, tmp_path):
     log = tmp_path / "log"
     with pytest.raises(ValueError):
         records.read_spans(spark, str(tmp_path / "log"))
-    with records.SpanLog(str(log), "naive", machine="m") as run:
-        with run.span("retrieve", k=5, n_candidates=1) as s:
+    with records.RunLog(spark, str(log), "naive", machine="m") as run:
+        with run.timer("retrieve", k=5, n_candidates=1) as s:
             s["n_candidates"] = 20
-        with pytest.raises(KeyError), run.span("generate"):
+        with pytest.raises(KeyError), run.timer("generate"):
             raise KeyError("gone")
-        run.emit("answer", 0.0, i=0, sources=object())
+        assert spark.read.text(run.path).count() == 3  # a failure is on disk at once
+        run.note("answer", 0.0, i=0, sources=object())
+        run.append(spark.createDataFrame([("answer", 0.0, 1, ["a p.1"], 1.5)], "stage string, ms double, i int, cited array<string>, own_field double"))
     (log / "0.jsonl").write_text('\n{"stage": "parse", "ms": 1.5, "config": "x"}\n\n')
     got = records.read_spans(spark, str(log))
-    by = {r.stage: r for r in got.collect()}
+    assert sorted(r.own_field for r in got.where("own_field is not null").collect()) == [1.5] and got.where("machine = 'm'").count() == 1  # the union of keys
+    assert got.where("stage = 'run_start'").first().file.endswith(f"_naive_{run.run_id}.jsonl") and got.select("run_id").distinct().count() == 2
+    by = {r.stage: r for r in got.where("i is null or i = 0").collect()}
     assert set(by) == {"run_start", "retrieve", "generate", "answer", "run_end", "parse"}
     assert (by["retrieve"].k, by["retrieve"].n_candidates) == (5, 20) and by["generate"].error == "KeyError: 'gone'" and by["parse"].file == "0.jsonl" and by["parse"].rss_mb is None
     assert by["run_start"].rss_mb > 0 and by["retrieve"].ms >= 0
     records.write_spans(got.select("stage", "ms"), str(tmp_path / "again"))
-    assert spark.read.json(str(tmp_path / "again")).count() == 6
-    records.write_results(got.select("stage").orderBy("stage"), str(tmp_path / "r.json"))
+    assert spark.read.json(str(tmp_path / "again")).count() == 7
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "0.jsonl").write_text('{"stage": "parse"}\nno json\n')
+    with pytest.raises(Exception):  # noqa: B017
+        records.read_spans(spark, str(tmp_path / "bad")).count()
+    records.write_results(got.select("stage").distinct().orderBy("stage"), str(tmp_path / "r.json"))
     assert [x["stage"] for x in json.loads((tmp_path / "r.json").read_text())] == sorted(by)
 
 
@@ -120,7 +128,7 @@ def server():
                 self.send_error(500)
                 return
             else:
-                lines = [{"choices": [{"delta": {"content": "Hi"}}]}, {"choices": []}, {"choices": [{"delta": {}}], "timings": {"prompt_ms": 5.0, "predicted_per_second": 9.0}}]
+                lines = [{"choices": [{"delta": {"reasoning_content": "hm"}}]}, {"choices": [{"delta": {"content": "Hi"}}]}, {"choices": []}, {"choices": [{"delta": {}}], "timings": {"prompt_ms": 5.0, "predicted_per_second": 9.0}}]
                 out = b"".join(b"data: " + json.dumps(x).encode() + b"\n\n" for x in lines) + b"data: [DONE]\n\n"
             self.send_response(200)
             self.end_headers()
@@ -143,6 +151,10 @@ def test_generators(spark, server):
     assert seen[0][0] == "/api/chat" and seen[0][1]["keep_alive"] == "5m" and seen[0][1]["options"] == {"num_predict": 400} and seen[0][1]["messages"][1] == {"role": "user", "content": "u"}
     p = ad.generate(df, Config("x", gen_backend="llamacpp", llama_host=url), partitions=1).first()
     assert (p.answer, p.server_prompt_ms, p.server_predict_tok_per_s, p.server_predict_ms) == ("Hi", 5.0, 9.0, None)
+    assert (p.n_reasoning, p.n_chunks_streamed) == (1, 1)
+    turns = spark.range(6).selectExpr("id as turn").crossJoin(df.select("messages"))
+    fired = ad.burst(turns, Config("x", gen_backend="llamacpp", llama_host=url), 4).collect()
+    assert sorted(r.turn for r in fired) == [0, 1, 2, 3] and all((r.level, r.n_content, r.n_reasoning, r.error) == (4, 1, 1, None) and r.wall_s > 0 for r in fired)
     bad = ad.generate(df, Config("x", gen_backend="llamacpp", llama_host=url, max_tokens=1)).first()
     assert bad.answer is None and bad.error.startswith("HTTPError")
     v = ad.OllamaEmbedder(Config("x", ollama_host=url, embed_batch=2)).encode(["a", "b", "c"])
