@@ -447,16 +447,34 @@ def missing_named_sources(spark, sf):
     return _missing(spark, sf)
 
 
+# the days on which the sources of page 1 disagree, in order of first mention, with what each source says
+_DISAGREE = f"""dt AS (SELECT chunk_no, source, page, text FROM chunk_structured {_DAY_SQL}),
+    dm AS (SELECT chunk_no, source, regexp_extract_all(text, '{_DAY_RX}', 1) AS d, regexp_extract_all(text, '{_DAY_RX}', 2) AS n, regexp_extract_all(text, '{_DAY_RX}', 3) AS mo FROM dt WHERE page = 1 AND regexp_matches(text, '{_DAY_RX}')),
+    dx AS (SELECT chunk_no, source, unnest(range(len(d))) AS i, unnest(d) AS day, unnest(n) || ' ' || unnest(list_transform(mo, lambda s: upper(s[1:1]) || lower(s[2:]))) AS date FROM dm),
+    dc AS (SELECT TRY_CAST(day AS INT) AS day, date, arg_min(source, (chunk_no, i)) AS source, min((chunk_no, i)) AS pos FROM dx GROUP BY ALL),
+    dd AS (SELECT day, min(pos) AS pos, string_agg(date || '=' || source, ', ' ORDER BY pos) AS reason, string_agg(date || ' per ' || source, '; ' ORDER BY pos) AS line FROM dc GROUP BY day HAVING count(*) > 1)"""
+
+
+def _disagree(spark, sf):
+    more = spark.createDataFrame(_DAYS, "chunk_no long, source string, page int, text string")
+    rows = table(spark, sf, "chunk_structured").select("chunk_no", "source", "page", "text").unionByName(more).where("page = 1")
+    return answers.conflicting_dates(rows, group="page", rank="chunk_no")
+
+
 @query(
-    f"""SELECT result_id, received_at, CASE WHEN len(u) > 0 THEN 'ungrounded numbers: [' || array_to_string(list_transform(u, lambda x: '''' || x || ''''), ', ') || ']'
-    WHEN coalesce(regexp_matches(answer, '{_HEDGE_SQL}'), false) THEN 'hedging language' END AS reason
-    FROM (SELECT *, {_UNGROUNDED} AS u FROM query_results LEFT JOIN questions USING (question_id))"""
+    _MISSING
+    + f""", {_DISAGREE} SELECT result_id, received_at, CASE WHEN len(u) > 0 THEN 'ungrounded numbers: [' || array_to_string(list_transform(u, lambda x: '''' || x || ''''), ', ') || ']'
+    WHEN coalesce(regexp_matches(answer, '{_HEDGE_SQL}'), false) THEN 'hedging language'
+    WHEN result_id % 2 = 0 AND (SELECT count(*) FROM dd) > 0 THEN (SELECT 'sources disagree on Day ' || day || '''s date: ' || reason FROM dd ORDER BY pos LIMIT 1)
+    WHEN len(missing) > 0 THEN 'question named [' || array_to_string(list_transform(missing, lambda x: '''' || x || ''''), ', ') || '] but it was never retrieved' END AS reason
+    FROM (SELECT *, {_UNGROUNDED} AS u FROM query_results LEFT JOIN questions USING (question_id)) LEFT JOIN gone ON question_id = query_id"""
 )
 def low_confidence_reason(spark, sf):
-    rows = _answers(spark, sf)
-    none_c = F.lit(None).cast("array<struct<day:int,vals:array<struct<date:string,source:string>>>>")
-    reason = answers.confidence_reason(answers.ungrounded(F.col("answer"), F.col("expect")), answers.hedges(F.col("answer")), none_c, F.lit(None).cast("array<string>"))
-    return rows.select("result_id", "received_at", reason.alias("reason"))
+    """All four checks: every second answer is held against the disagreeing sources of page 1."""
+    rows = _answers(spark, sf).withColumn("page", F.when(F.col("result_id") % 2 == 0, F.lit(1)))
+    j = rows.join(_disagree(spark, sf), "page", "left").join(_missing(spark, sf), F.col("question_id") == F.col("query_id"), "left")
+    reason = answers.confidence_reason(answers.ungrounded(F.col("answer"), F.col("expect")), answers.hedges(F.col("answer")), F.col("conflicts"), F.col("missing"))
+    return j.select("result_id", "received_at", reason.alias("reason"))
 
 
 _SYSTEM = prompts.SYSTEM.replace("'", "''")
@@ -468,13 +486,19 @@ def _hits(spark, sf):
     return prompts.gather_hits(retrieval.bm25_topk(chunks, asked, 5), chunks).join(asked, "query_id")
 
 
+_NOTICE = prompts.NOTICE.replace("'", "''")
+
+
 @query(
     _HITS
-    + f""" SELECT query_id, '{_SYSTEM}' AS system, 'Context:' || chr(10) || string_agg('[' || source || ' p.' || page || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || 'Question: ' || any_value(q) AS user
+    + f""", {_DISAGREE} SELECT query_id, '{_SYSTEM}' AS system, 'Context:' || chr(10) || string_agg('[' || source || ' p.' || page || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || 'Question: ' || any_value(q)
+    || CASE WHEN query_id % 200 = 0 AND (SELECT count(*) FROM dd) > 0 THEN '{_NOTICE}' || (SELECT string_agg('Day ' || day || ': ' || line, chr(10) ORDER BY pos) FROM dd) ELSE '' END AS user
     FROM got JOIN questions ON question_id = query_id GROUP BY query_id"""
 )
 def prompt_messages(spark, sf):
-    m = _hits(spark, sf).select("query_id", prompts.messages(F.col("question"), F.col("hits")).alias("m"))
+    """Every second prompt carries the notice on disagreeing sources."""
+    hits = _hits(spark, sf).withColumn("page", F.when(F.col("query_id") % 200 == 0, F.lit(1))).join(_disagree(spark, sf), "page", "left")
+    m = hits.select("query_id", prompts.messages(F.col("question"), F.col("hits"), F.col("conflicts")).alias("m"))
     return m.select("query_id", F.col("m")[0]["content"].alias("system"), F.col("m")[1]["content"].alias("user"))
 
 
@@ -492,12 +516,12 @@ def cited_sources(spark, sf):
 
 
 @query(
-    """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS seq, round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS sim FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0 AND e.vec_id % 200 <> 0)
-    SELECT query_id, seq, round_even(sim, 4) AS cache_sim FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, seq) AS r FROM s) WHERE r = 1 AND sim >= 0.3"""
+    """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS seq, round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS sim FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0)
+    SELECT query_id, seq, round_even(sim, 4) AS cache_sim FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, seq) AS r FROM s) WHERE r = 1 AND sim >= 0.93"""
 )
 def cache_lookup(spark, sf):
     rows, asked = _vectors(spark, sf)
-    return cache.cache_lookup(rows.where("chunk_no % 200 <> 0").select(F.col("chunk_no").alias("seq"), "embedding"), asked.drop("allowed"), threshold=0.3)
+    return cache.cache_lookup(rows.select(F.col("chunk_no").alias("seq"), "embedding"), asked.drop("allowed"))
 
 
 def _requests(spark, sf):
@@ -565,18 +589,18 @@ def embed_throughput(spark, sf):
 _SERVER = {"server_prompt_ms": "ttft_ms", "server_prompt_tok_per_s": "tok_per_s", "server_predict_ms": "ms", "server_predict_tok_per_s": "rss_mb"}
 
 
-@query("SELECT config, median(ttft_ms) AS prefill_ms, median(tok_per_s) AS prefill_tok_per_s, median(CASE WHEN NOT isnan(ms) THEN ms END) AS decode_ms, median(rss_mb) AS decode_tok_per_s FROM run WHERE error IS NULL AND stage = 'generate' AND ttft_ms IS NOT NULL AND config IS NOT NULL GROUP BY config")
+@query("SELECT config, median(ttft_ms) AS prefill_ms, median(tok_per_s) AS prefill_tok_per_s, median(CASE WHEN NOT isnan(ms) THEN ms END) AS decode_ms, median(rss_mb) AS decode_tok_per_s FROM run WHERE error IS NULL AND stage = 'generate' AND ttft_ms IS NOT NULL GROUP BY config")
 def server_split(spark, sf):
-    spans = table(spark, sf, "run").where("config is not null").select("config", "stage", "error", *[F.col(v).alias(k) for k, v in _SERVER.items()])
+    spans = table(spark, sf, "run").select("config", "stage", "error", *[F.col(v).alias(k) for k, v in _SERVER.items()])
     return report.server_split(spans)
 
 
 @query(
     """SELECT lane AS level, median(ttft_ms) AS ttft_p50, max(ttft_ms) AS ttft_max, max(ttft_ms) / 1000 AS wall_s, round(sum(length(coalesce(answer, '')) + length(coalesce(question, ''))) / (max(ttft_ms) / 1000), 3) AS aggregate_tok_s,
-    median(length(coalesce(question, ''))) AS reasoning_tok_median FROM query_results WHERE lane IS NOT NULL GROUP BY lane"""
+    median(length(coalesce(question, ''))) AS reasoning_tok_median  FROM query_results GROUP BY lane"""
 )
 def concurrency_levels(spark, sf):
-    r = table(spark, sf, "query_results").where("lane is not null").select(F.col("lane").alias("level"), "ttft_ms", (F.col("ttft_ms") / 1000).alias("wall_s"), F.length(F.coalesce("answer", F.lit(""))).alias("n_content"), F.length(F.coalesce("question", F.lit(""))).alias("n_reasoning"))
+    r = table(spark, sf, "query_results").select(F.col("lane").alias("level"), "ttft_ms", (F.col("ttft_ms") / 1000).alias("wall_s"), F.length(F.coalesce("answer", F.lit(""))).alias("n_content"), F.length(F.coalesce("question", F.lit(""))).alias("n_reasoning"))
     return report.load_levels(r).withColumn("aggregate_tok_s", F.round("aggregate_tok_s", 3))
 
 
