@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltra.functions.shared import materialize, shared_dir
+
+__all__ = ["WORD", "WS_JAVA", "materialize", "n_words", "shared_dir", "table", "words_of"]
+
 #: White space as ``str.split()`` sees it, written as the body of a Java character class.
 WS_JAVA = r"\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -29,25 +32,3 @@ def n_words(col: Column | str) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a session folder only where it is unset (tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    import tempfile
-
-    own = f"file://{tempfile.gettempdir()}/siltra-shared"
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder once and read it again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/siltra/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

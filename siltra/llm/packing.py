@@ -162,3 +162,11 @@ def pack_containers(df: DataFrame, key: str = "chunk_no", text: str = "text", ca
     order = ["source", "page", "curve", "key"]
     laid = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("key", "source", "page", "n")
     return laid.mapInArrow(_pack(capacity), "source string, page int, container_id string, key long, piece_no long, n_words long").withColumnRenamed("key", key)
+
+
+def membership(packed: DataFrame, key: str = "chunk_no", capacity: int = CAPACITY) -> DataFrame:
+    """(key, n_words, n_pieces, fits) of each record: its words over all its pieces, and whether all its containers keep to the capacity."""
+    box = ["source", "page", "container_id"]
+    full = packed.groupBy(*box).agg(F.sum("n_words").alias("_f")).select(*[F.col(c).alias(f"_{c}") for c in box], "_f")
+    same = F.col("source").eqNullSafe(F.col("_source")) & F.col("page").eqNullSafe(F.col("_page")) & (F.col("container_id") == F.col("_container_id"))
+    return packed.join(full, same).groupBy(key).agg(F.sum("n_words").alias("n_words"), F.count(F.lit(1)).alias("n_pieces"), (F.max("_f") <= capacity).alias("fits"))

@@ -83,12 +83,12 @@ _REFUSE_BROAD = re.compile(
     r"not (?:permitted|allowed|authori[sz]ed|at liberty|in a position) to|as an ai|(?:nicht|keine?) (?:\w+ )?(?:erlaubt|befugt|berechtigt|berechtigung|zugriff)|no (?:estoy autorizad\w|tengo (?:permiso|acceso))|je n'ai pas (?:accès|le droit))\b",
     re.I,
 )
-#: Letters and word parts that tell a language.
+#: Words, in a line of words, whose letters and parts tell a language.
 _MARKS = {
-    "de": re.compile(r"[äöüß]|sch|(?:ung|keit|heit|lich)$"),
-    "es": re.compile(r"ñ|ción$|idad$|mente$|^ll|[áíóú]"),
-    "fr": re.compile(r"[çœêèûâ]|^(?:l|d|qu|n|s|c)['’]|eux$|oir$"),
-    "en": re.compile(r"^th|^wh|ing$|ght|ould$"),
+    "de": re.compile(r"[^ ]*(?:[äöüß]|sch)[^ ]*|[^ ]*(?:ung|keit|heit|lich)(?= |$)"),
+    "es": re.compile(r"[^ ]*[ñáíóú][^ ]*|[^ ]*(?:idad|mente)(?= |$)|(?:^|(?<= ))ll[^ ]*"),
+    "fr": re.compile(r"[^ ]*[çœêèûâ][^ ]*|(?:^|(?<= ))(?:l|d|qu|n|s|c)['’][^ ]*|[^ ]*(?:eux|oir)(?= |$)"),
+    "en": re.compile(r"(?:^|(?<= ))(?:th|wh)[^ ]*|[^ ]*(?:ght[^ ]*|(?:ing|ould)(?= |$))"),
 }
 _FIRST = re.compile(r"\b(?:i|i'm|i'd|me|my|myself|ich|mir|yo|me|puedo|siento|prefiero|je|nous|we|our)\b", re.I)
 
@@ -107,6 +107,11 @@ def _core(text: str) -> list[str]:
     return [w.lower() for w in _WORDS.findall(text)]
 
 
+@lru_cache(maxsize=1 << 14)
+def _asked(question: str) -> tuple[str, ...]:
+    return tuple(_core(question))  # questions recur
+
+
 def _alike(a: str, b: str) -> float:
     """Share of the letter trigrams of two texts that both have, blanks and punctuation aside."""
     x, y = ({t[i:i + 3] for i in range(max(1, len(t) - 2))} for t in ("".join(_core(a)), "".join(_core(b))))
@@ -187,7 +192,7 @@ def _common() -> frozenset[str]:
 def votes(question: str | None, answer: str | None) -> list[int]:
     """N_VOTES votes for each of DEFECTS, in order."""
     q, a = _plain(question), _plain(answer)
-    words, asked = _core(a), _core(q)
+    words, asked = _core(a), list(_asked(q))
     alnum = any(c.isalnum() for c in a)
     low = a.lower()
     # empty
@@ -260,13 +265,15 @@ def votes(question: str | None, answer: str | None) -> list[int]:
         truncated = [-1] * N_VOTES
     # other language: judged by the words that aren't the question's own
     asked_in = language(q) or "en"
-    own = [w for w in outside.split() if w.strip(".,;:?!()\"'“”").lower() not in once]
+    bare = [w.strip(".,;:?!()\"'“”¿¡") for w in outside.split()]
+    own = [w for w in bare if w.lower() not in once]
     hits = spoken(" ".join(own))
     rival = max((k for k in hits if k != asked_in), key=lambda k: hits[k], default=None)
     lead = hits[rival] - hits.get(asked_in, 0) if rival else 0
     foreign = rival is not None and rival not in _FW
-    low_words = [w for w in (w.strip(".,;:?!()\"'“”¿¡") for w in own) if w.islower()]
-    marks = {k: sum(bool(m.search(w)) for w in low_words) for k, m in _MARKS.items()}
+    low_words = [w for w in own if w.islower()]
+    line = " ".join(low_words)
+    marks = {k: len(m.findall(line)) for k, m in _MARKS.items()}
     mark = max((n for k, n in marks.items() if k != asked_in), default=0)
     plain = [w for w in low_words if len(w) > 3 and w.isalpha()]
     known = sum(w in _common() for w in plain) / len(plain) if len(plain) >= 3 and _common() else None

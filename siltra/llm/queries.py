@@ -80,6 +80,16 @@ def p4_surrogates(spark: SparkSession, sf: str) -> DataFrame:
     return pii.pseudonymise(_chunks(spark, sf), DEMO_KEY)
 
 
+def p4_restored(spark: SparkSession, sf: str) -> DataFrame:
+    """The table again, from its pseudonymised form: nothing but the values was touched."""
+    return pii.pseudonymise(_chunks(spark, sf), DEMO_KEY, back=True)
+
+
+def p5_members(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of each record over its containers, none of which is overfull."""
+    return packing.membership(packing.pack_containers(_chunks(spark, sf))).select("chunk_no", "n_words", "fits")
+
+
 def p5_containers(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_containers(_chunks(spark, sf))
 
@@ -97,6 +107,11 @@ def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokenizing.encode_corpus(table(spark, sf, "documents"))
 
 
+def p7_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Digests of what the ids stand for."""
+    return tokenizing.decoded_digests(p7_ids(spark, sf)).select("doc_id", "digest")
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return p8_near(spark, sf).where("edits = 0").select("doc_id", "item_id")
 
@@ -126,8 +141,8 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
-        p1_found, p1_pieces, p1_cover, p1_files, p2_found, p2_copies, p3_found, p3_posteriors, p4_found, p4_redacted, p4_surrogates, p4_clashes, p5_containers, p6_percentiles, p6_days,
-        p7_ids, p8_found, p8_near, p9_found, p9_repetition, p9_thresholds, p9_flagged,
+        p1_found, p1_pieces, p1_cover, p1_files, p2_found, p2_copies, p3_found, p3_posteriors, p4_found, p4_redacted, p4_surrogates, p4_clashes, p4_restored, p5_containers, p5_members, p6_percentiles, p6_days,
+        p7_ids, p7_round_trip, p8_found, p8_near, p9_found, p9_repetition, p9_thresholds, p9_flagged,
     )
     return {f.__name__: f for f in own}
 
@@ -192,6 +207,9 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": _P2 + "SELECT keep_no, chunk_no FROM grouped JOIN kept USING (grp) WHERE chunk_no > keep_no",
         "p2_copies": _P2 + "SELECT keep_no, copies FROM kept",
         "p4_clashes": "SELECT unnest(['person', 'email', 'phone', 'id_number', 'address']) AS pii_kind, 0::BIGINT AS shared, 0::BIGINT AS real",
+        "p4_restored": "SELECT chunk_no, text, source FROM chunk_structured",
+        "p5_members": f"SELECT chunk_no, coalesce(len(regexp_extract_all(text, '{_WS}')), 0)::BIGINT AS n_words, true AS fits FROM chunk_structured",
+        "p7_round_trip": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents",
         "p6_percentiles": _P6.format("config, stage"),
         "p6_days": _P6.format("config, stage, day"),
         "p8_found": _WORDS12,

@@ -9,6 +9,7 @@ are: before ASCII white space that follows other than white space, and between t
 from __future__ import annotations
 
 import base64
+import hashlib
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -123,3 +124,15 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", folder
 
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("t"))
     return rows.mapInArrow(run, "key long, ids array<int>").select(F.col("key").alias(key), "ids")
+
+
+def decoded_digests(coded: DataFrame, key: str = "doc_id", folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(key, n_ids, digest) of each row of (key, ids): the MD5 of the bytes its tokens stand for."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, _ = _load(folder, vocabulary)
+        for b in batches:
+            lists = b.column(1).to_pylist()
+            digests = [hashlib.md5(own.decode_bytes(x)).hexdigest() for x in lists]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, lists)), pa.int64()), pa.array(digests, pa.string())], names=["key", "n_ids", "digest"])
+
+    return coded.select(F.col(key).alias("key"), "ids").mapInArrow(run, "key long, n_ids long, digest string").withColumnRenamed("key", key)
