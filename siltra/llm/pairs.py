@@ -93,9 +93,12 @@ _MARKS = {
 _FIRST = re.compile(r"\b(?:i|i'm|i'd|me|my|myself|ich|mir|yo|me|puedo|siento|prefiero|je|nous|we|our)\b", re.I)
 
 
+_INVISIBLE = re.compile(r"[​-‏⁠﻿­]")
+
+
 def _plain(text: str | None) -> str:
     """Text without invisible characters and outer white space."""
-    return re.sub(r"[​-‏⁠﻿­]", "", text or "").strip()
+    return _INVISIBLE.sub("", text).strip() if text else ""
 
 
 def _numbers(text: str) -> set[str]:
@@ -107,6 +110,13 @@ def _core(text: str) -> list[str]:
     return [w.lower() for w in _WORDS.findall(text)]
 
 
+def _outside(text: str, low: str, by: str) -> str:
+    """``text`` without citations and file names, ``by`` in place of each; ``low`` is the text in lower case."""
+    if "[" in text or "(" in text:
+        text = _CITE.sub(by, text)
+    return _FILE.sub(by, text) if any(e in low for e in (".pdf", ".doc", ".txt", ".md", ".htm")) else text
+
+
 @lru_cache(maxsize=1 << 14)
 def _asked(question: str) -> tuple[str, ...]:
     return tuple(_core(question))  # questions recur
@@ -153,7 +163,7 @@ def language(text: str) -> str | None:
 
 def _bare(answer: str) -> bool:
     """Whether the answer is a value, a name or label-and-value lines, and no sentence."""
-    lines = [x for x in re.split(r"\n+", _FILE.sub("", _CITE.sub("", answer))) if _WORDS.search(x)]
+    lines = [x for x in re.split(r"\n+", _outside(answer, answer.lower(), "")) if _WORDS.search(x)]
     for line in lines:
         line = line.strip(" -*•\t")
         label, colon, value = line.rpartition(": ")
@@ -218,7 +228,7 @@ def votes(question: str | None, answer: str | None) -> list[int]:
             1 if (alike := _alike(_SAME_START.sub("", a), q)) >= 0.9 else 0 if alike < 0.8 else -1,
         ]
     # refusal
-    outside = _FILE.sub(" ", _CITE.sub(" ", a))
+    outside = _outside(a, low, " ")
     hint = not _REFUSE_HINT.isdisjoint(words)
     asked_low = q.lower()
     new = lambda m: bool(m) and m[0].lower() not in asked_low  # noqa: E731  what the question says itself declines nothing
@@ -226,9 +236,10 @@ def votes(question: str | None, answer: str | None) -> list[int]:
     soft = hint and bool(said - once) and bool(_REFUSE_NOT.search(outside) and _REFUSE_VERB.search(outside) and _FIRST.search(outside))
     broad = hint and new(_REFUSE_BROAD.search(outside))
     valued = outside != a or bool(_numbers(a) - _numbers(q))
-    note = bool(_NOTE.fullmatch(a))
+    missing = bool(_MISSING.search(a))
+    note = missing and bool(_NOTE.fullmatch(a))  # every note says that a value is missing
     not_given = (
-        (note or bool(_END.search(a))) and bool(_MISSING.search(a)) and not _FIRST.search(a) and not _SENTENCE.search(outside)
+        missing and (note or bool(_END.search(a))) and not _FIRST.search(a) and not _SENTENCE.search(outside)
         and not _DECLINES.search(a) and not _REFUSE_STRONG.match(outside.lstrip())
     )
     refusal = [
