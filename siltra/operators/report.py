@@ -80,12 +80,15 @@ def ingest_waterfall(spans: DataFrame, stages: list[str] = INGEST, keys: tuple[s
 def query_waterfall(spans: DataFrame, stages: list[str] = QUERY, exclude_warmup: bool = False) -> DataFrame:
     """Median milliseconds of each query stage by config, absent ones 0, and the sum of the medians as TOTAL.
 
-    ``exclude_warmup`` leaves out, in each run, what lies before its second ``phase`` span.
+    ``exclude_warmup`` leaves out, in each run, what lies from its first ``phase`` span up to the second, later one.
     """
     ok = succeeded(spans)
-    if exclude_warmup:
-        phases = Window.partitionBy("run_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-        ok = ok.withColumn("_p", F.sum((F.col("stage") == "phase").cast("int")).over(phases)).where("_p <> 1").drop("_p")
+    if exclude_warmup:  # the bounds are one row a run, so a long run is no hot key of a window
+        phases = ok.where("stage = 'phase'").select("run_id", "ts")
+        begin = phases.groupBy(F.col("run_id").alias("_r")).agg(F.min("ts").alias("_t1"))
+        later = phases.join(begin, F.col("run_id").eqNullSafe(F.col("_r"))).where("ts > _t1").groupBy(F.col("run_id").alias("_s")).agg(F.min("ts").alias("_t2"))
+        bounds = begin.join(later, F.col("_r").eqNullSafe(F.col("_s")), "left").select("_r", "_t1", "_t2")
+        ok = ok.join(bounds, F.col("run_id").eqNullSafe(F.col("_r")), "left").where("_t1 is null or ts < _t1 or ts >= _t2")
     med = exact_quantiles(ok.where(F.col("stage").isin(stages)), ["config", "stage"], "ms", {"med": 0.5})
     wide = med.groupBy("config").pivot("stage", stages).agg(F.max("med")).na.fill(0.0, stages)
     return wide.select("config", *stages, _total(stages))
