@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: What ``str.split()`` parts words at, as the body of a Java character class.
 WS = r"\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The same characters themselves.
+_BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def _col(c: Column | str) -> Column:
@@ -19,12 +21,14 @@ def strip(c: Column | str) -> Column:
 
 
 def words(c: Column | str) -> Column:
-    """Words parted by white space; an empty array for null and blank text."""
-    return F.regexp_extract_all(F.coalesce(_col(c), F.lit("")), F.lit(rf"[^{WS}]+"), F.lit(0))
+    """Words parted by white space; an empty array for null and blank text. Blanks of any kind are made plain ones first:
+    a cut at one character is several times faster than a pattern that collects words."""
+    plain = F.translate(F.coalesce(_col(c), F.lit("")), _BLANKS, " " * len(_BLANKS))
+    return F.filter(F.split(plain, " "), lambda w: w != "")
 
 
 def n_words(c: Column | str) -> Column:
-    return F.regexp_count(F.coalesce(_col(c), F.lit("")), F.lit(rf"[^{WS}]+"))
+    return F.size(words(c))
 
 
 def content_id(c: Column | str) -> Column:
