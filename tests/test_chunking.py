@@ -100,4 +100,4 @@ def test_counters_and_flags(spark):
     r = ch.ingest_counters(df, slid, ch.dedup_first(slid, ["source", "page", "window_no"])).first()
     assert tuple(r) == (4, 2, 5, 2, 1 + 400 + 180, 3)
     none = ch.sliding_chunks(df.where("false"))
-    assert tuple(ch.ingest_counters(df.where("false"), none, none).first()) == (0, 0, 0, 0, 0)
+    assert tuple(ch.ingest_counters(df.where("false"), none, none).first()) == (0, 0, 0, 0, 0, 0)
