@@ -195,11 +195,11 @@ def _in_reading_order(blocks: list[tuple[float, float, str]]) -> list[str]:
 
 
 def pdf_pages(data: bytes) -> list[tuple[int, str]]:
-    """The plain text of each page, in the order in which the page writes it."""
+    """The plain text of each page, as the library gives it; without it, the blocks in reading order."""
     try:
         import pymupdf
     except ImportError:
-        return [(i, "\n".join(t.strip() for _, _, t in b if t.strip())) for i, b in enumerate(_plain_pdf(data), 1)]
+        return [(i, "\n".join(_in_reading_order(b)).strip()) for i, b in enumerate(_plain_pdf(data), 1)]
     with pymupdf.open(stream=data, filetype="pdf") as doc:
         return [(i, page.get_text("text").strip()) for i, page in enumerate(doc, 1)]
 
