@@ -20,11 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Folder of the vocabulary files; a parameter of every function here.
-TOKENIZERS = os.environ.get("SILTRA_TOKENIZERS", "/opt/tokenizers")
+from siltra.functions.tokens import FOLDER as TOKENIZERS
+from siltra.functions.tokens import PATTERN
+
 VOCABULARY = "byte_bpe_50k"
-#: Fixed value: the public pre-tokenizer pattern of the byte_bpe_50k vocabulary.
-PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters a fragment holds at least.
 FRAGMENT = 256
 
