@@ -287,7 +287,7 @@ def votes(question: str | None, answer: str | None) -> list[int]:
     marks = {k: len(m.findall(line)) for k, m in _MARKS.items()}
     mark = max((n for k, n in marks.items() if k != asked_in), default=0)
     plain = [w for w in low_words if len(w) > 3 and w.isalpha()]
-    known = sum(w in _common() for w in plain) / len(plain) if len(plain) >= 3 and _common() else None
+    known = sum(w in _common() for w in plain) / len(plain) if len(plain) >= 3 else None
     by_words = -1
     if known is not None and asked_in == "en":
         by_words = 1 if known < 0.4 else 0 if known > 0.7 else -1
@@ -372,6 +372,7 @@ def pairs_of(query_results: DataFrame, questions: DataFrame) -> DataFrame:
 def vote_patterns(pairs: DataFrame) -> DataFrame:
     """(record_set, row_id, pattern): the votes as a string of digits, ``2`` for an abstention. One pass, no shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _common()  # without a vocabulary no row is judged, whether it needs the words or not
         for b in batches:
             out = ["".join("2" if v < 0 else str(v) for v in votes(q, a)) for q, a in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=["record_set", "row_id", "pattern"])

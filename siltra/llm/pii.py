@@ -164,7 +164,7 @@ def _surname_like(word: str, cased: bool, title: bool = False) -> bool:
     parts = low.split("-")
     common = common_words()
     return (
-        (word.islower() or word.isupper() or title) and len(parts[0]) > 4 and low not in NAMES and low not in _FUNCTION and bool(common)
+        (word.islower() or word.isupper() or title) and len(parts[0]) > 4 and low not in NAMES and low not in _FUNCTION
         and all(w.isalpha() for w in parts) and parts[0] not in common
     )
 
@@ -183,7 +183,7 @@ def _unlisted(text: str) -> Iterator[tuple[int, int]]:
     what persons do."""
     for m in _SHAPE.finditer(text):
         words = [w.lower() for w in re.findall(r"[^\W\d_]{2,}", m[0])]
-        if any(w in PLAIN or w in common_words() or w in _STREETS or w.endswith(_DE_ENDS) for w in words if w not in PARTICLES) or not common_words():
+        if any(w in PLAIN or w in common_words() or w in _STREETS or w.endswith(_DE_ENDS) for w in words if w not in PARTICLES):
             continue
         after = text[m.end():m.end() + 24]
         if _OPENS.search(text, max(0, m.start() - 12), m.start()) and not _ABOUT.match(after):
@@ -364,6 +364,7 @@ def detect_rows(df: DataFrame, fields: tuple[str, ...] = ("text", "source"), key
     are searched each; other columns are ignored.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common_words()  # without a vocabulary no row is searched, whether it needs the words or not
         cached = lru_cache(maxsize=4096)(lambda t: find(t, True))  # file names recur
         for b in batches:
             out: list[list] = [[] for _ in names]
@@ -402,6 +403,7 @@ def _put_back(new: str, spans: list[tuple[int, int, str, str]]) -> str:
 def redact(df: DataFrame, fields: tuple[str, ...] = ("text", "source"), key: str = "chunk_no") -> DataFrame:
     """(key, fields) with each value replaced by a typed placeholder such as ``[PERSON]``; all else is unchanged. No shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common_words()
         for b in batches:
             cols = [b.column(0)]
             for n, field in enumerate(fields, 1):

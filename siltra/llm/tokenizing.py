@@ -47,16 +47,17 @@ def _load(folder: str, vocabulary: str):
 
 @lru_cache(maxsize=2)
 def common_words(folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> frozenset[str]:
-    """Plain words: those that a public vocabulary writes as one token. Empty where the file is missing."""
+    """Plain words: those that a public vocabulary writes as one token. A missing file, a broken line and a
+    file without plain words are errors: without the words names would be missed, or words be taken for names."""
     out = set()
-    try:
-        with open(os.path.join(folder, f"{vocabulary}.tiktoken"), "rb") as f:
-            for line in f:
-                token = base64.b64decode(line.split()[0])
-                if token[:1] == b" " and token[1:].isalpha() and token[1:].islower():
-                    out.add(token[1:].decode())
-    except FileNotFoundError:
-        return frozenset()
+    with open(path := os.path.join(folder, f"{vocabulary}.tiktoken"), "rb") as f:
+        for line in f:
+            token, _ = line.split()
+            token = base64.b64decode(token, validate=True)
+            if token[:1] == b" " and token[1:].isalpha() and token[1:].islower():
+                out.add(token[1:].decode())
+    if not out:
+        raise ValueError(f"no plain words in {path}")
     return frozenset(out)
 
 

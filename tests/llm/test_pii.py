@@ -1,8 +1,9 @@
 import re
+from functools import partial
 
 import pytest
 
-from siltra.llm import pii
+from siltra.llm import pairs, pii, tokenizing
 
 CASES = [
     ("Dear Ms Hesgard, thanks.", {"person": ["Ms Hesgard"]}), ("Signed by Judith Ilse Odvanni.", {"person": ["Judith Ilse Odvanni"]}), ("Contact: ZANELLITO, Sanne\nLot: 4", {"person": ["ZANELLITO, Sanne"]}),
@@ -194,3 +195,21 @@ def test_held_out_sentences():
 def test_empty_table(spark):
     df = spark.createDataFrame([], "chunk_no long, text string, source string")
     assert pii.detect_rows(df).count() == 0 and pii.pseudonymise(df, "k").count() == 0
+
+
+@pytest.mark.parametrize(("content", "error"), [(None, FileNotFoundError), (b"", ValueError), (b"YQ== 0\n", ValueError), (b"IHRoZQ== 0\nIHRo", ValueError)])
+def test_names_are_not_missed_for_want_of_a_vocabulary(spark, monkeypatch, tmp_path, content, error):
+    if content is not None:
+        (tmp_path / f"{tokenizing.VOCABULARY}.tiktoken").write_bytes(content)
+    load = partial(tokenizing.common_words, str(tmp_path))
+    monkeypatch.setattr(pii, "common_words", load)
+    monkeypatch.setattr(pairs, "_common", load)
+    with pytest.raises(error):
+        pii.find("Yesterday we met Svetlana Kuznetsova at the gate.")
+    with pytest.raises(error):
+        pairs.votes("Where is the key?", "The spare wooden boxes were moved there.")
+    rows = spark.createDataFrame([(1, "no name here", None)], "chunk_no long, text string, source string")
+    asked = spark.createDataFrame([("questions", 1, "Why?", "42")], "record_set string, row_id long, q string, a string")
+    for got in (pii.detect_rows(rows), pii.redact(rows), pairs.vote_patterns(asked)):  # whatever the rows
+        with pytest.raises(Exception, match=error.__name__):
+            got.collect()
